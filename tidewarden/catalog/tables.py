@@ -100,3 +100,154 @@ windowed as materialized (
 
 def with_sql(ctes: str, select: str) -> str:
     return f"with recursive {ctes}\n{select}"
+
+
+# One row per flow window with its statistics, and the host context of each.
+STATS_SQL = windows_sql() + """,
+sizes as (
+  select window_id, orig_bytes / orig_pkts as s from windowed where orig_pkts > 0
+  union all select window_id, resp_bytes / resp_pkts from windowed where resp_pkts > 0),
+size_stats as (
+  select window_id, avg(s) as avg_packet_size, stddev_pop(s) as std_packet_size, min(s) as min_packet_size,
+    max(s) as max_packet_size from sizes group by 1),
+letters as (
+  select window_id, unnest(string_split(uid || src_ip || dst_ip || protocol || service || conn_state || history, '')) as c
+  from windowed),
+letter_counts as (select window_id, c, count(*) as n from letters group by 1, 2),
+entropies as (
+  select window_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) as entropy from letter_counts group by 1),
+totals as (
+  select flow_key, window_at, window_id, count(*) as record_count, max(src_ip) as src_ip, max(dst_ip) as dst_ip,
+    max(src_port) as src_port, max(dst_port) as dst_port,
+    max(case when record_id = window_id then protocol end) as protocol, min(ts_us) as first_at, max(ts_us) as last_at,
+    cast(sum(orig_bytes + resp_bytes) as bigint) as byte_count, cast(sum(orig_pkts + resp_pkts) as bigint) as packet_count,
+    cast(sum(length(history) - length(replace(history, 'S', ''))) as bigint) as syn,
+    cast(sum(length(history) - length(replace(history, 'A', ''))) as bigint) as ack,
+    cast(sum(length(history) - length(replace(history, 'F', ''))) as bigint) as fin,
+    cast(sum(length(history) - length(replace(history, 'R', ''))) as bigint) as rst,
+    cast(sum(length(history) - length(replace(history, 'P', ''))) as bigint) as psh,
+    cast(sum(length(history) - length(replace(history, 'U', ''))) as bigint) as urg
+  from windowed group by 1, 2, 3),
+stats as materialized (
+  select t.*, (last_at - first_at) / 1e6 as duration, coalesce(avg_packet_size, 0) as avg_packet_size,
+    coalesce(std_packet_size, 0) as std_packet_size, coalesce(min_packet_size, 0) as min_packet_size,
+    coalesce(max_packet_size, 0) as max_packet_size, coalesce(entropy, 0) as entropy,
+    case when last_at > first_at then packet_count / ((last_at - first_at) / 1e6) else 0 end as packets_per_second,
+    case when last_at > first_at then byte_count / ((last_at - first_at) / 1e6) else 0 end as bytes_per_second,
+    extract(hour from make_timestamp(first_at)) + extract(minute from make_timestamp(first_at)) / 60.0 as time_of_day,
+    cast(extract(isodow from make_timestamp(first_at)) - 1 as integer) as day_of_week
+  from totals t left join size_stats using (window_id) left join entropies using (window_id))"""
+
+CONTEXT_SQL = STATS_SQL + f""",
+recent as (
+  select s.window_id, count(*) as recent_flows, cast(sum(orig_bytes + resp_bytes) as bigint) as recent_bytes,
+    cast(sum(orig_pkts + resp_pkts) as bigint) as recent_packets
+  from stats s join flows f on f.src_ip = s.src_ip and f.ts_us > s.first_at - {WIDTH} and f.ts_us <= s.last_at group by 1),
+seen as (
+  select s.window_id, count(distinct f.dst_ip) as unique_dst_ips,
+    count(distinct case when f.dst_port <> 0 then f.dst_port end) as unique_dst_ports
+  from stats s join flows f on f.src_ip = s.src_ip and f.ts_us <= s.last_at group by 1),
+features as materialized (
+  select s.*, recent_flows, recent_bytes, recent_packets, unique_dst_ips, unique_dst_ports
+  from stats s join recent using (window_id) join seen using (window_id))"""
+
+# The traffic rule's scores and the fused result of each window.
+RESULTS_SQL = STATS_SQL + """,
+scores as (
+  select window_id as result_id, flow_key, window_at as ts_us, src_ip, dst_ip, least(1.0, cast(byte_count as double) / 50000.0) as anomaly,
+    case when rst > 0 then least(1.0, 0.75 + cast(byte_count as double) / 100000.0) else 0.5 end as confidence, rst > 0 as resets
+  from stats),
+flags as (select *, anomaly > 0.8 as is_anomaly, resets and confidence > 0.7 as is_attack from scores),
+risks as (
+  select *, greatest(0.0, case when is_attack then confidence else 0 end, case when is_anomaly then anomaly else 0 end) as risk_score
+  from flags),
+results as materialized (
+  select result_id, flow_key, ts_us, src_ip, dst_ip, anomaly as anomaly_score, confidence as classification_confidence,
+    is_anomaly, is_attack, risk_score,
+    case when is_attack and risk_score > 0.8 then 'attack' when is_anomaly and risk_score > 0.6 then 'suspicious' else 'normal' end as prediction,
+    case when is_attack and risk_score > 0.8 then 'high' when is_anomaly and risk_score > 0.6 then 'medium' else 'low' end as severity
+  from risks)"""
+
+
+def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(
+        F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")).alias("ip")
+    )
+
+
+def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(
+        F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")).alias("ip")
+    )
+
+
+LISTS_SQL = """
+whitelist as (select distinct '10.0.0.' || n_nationkey as ip from nation where n_regionkey = 1),
+blacklist as (select distinct '10.0.0.' || n_nationkey as ip from nation where n_regionkey = 2)"""
+
+
+def metric_columns(df: DataFrame) -> DataFrame:
+    """Event rows as metric events: ten types and a missing one, labels missing now and then."""
+    kinds = [
+        "packet_processed", "feature_extracted", "inference_completed", "anomaly_detected", "attack_classified",
+        "block_executed", "alert_generated", "error_occurred", "processing_latency", "custom_metric",
+    ]
+    df = df.withColumn("k", k_of_props()).withColumn("ts", F.col("ts").cast("timestamp"))
+    k, user = F.col("k"), F.col("user_id")
+    label = lambda prefix, n: F.concat(F.lit(prefix), (user % n).cast("string"))
+    sometimes = lambda c: F.when(k % 3 != 0, c)
+    return df.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("timestamp"),
+        F.get(F.array(*[F.lit(x) for x in kinds]), (k % 11).cast("int")).alias("type"),
+        sometimes(label("sensor", 3)).alias("source"), F.col("event_type").alias("protocol"),
+        F.lit("flow").alias("feature_type"), sometimes(label("model", 2)).alias("model_name"),
+        F.when(user % 2 == 0, "attack").otherwise("normal").alias("prediction"),
+        sometimes(F.when(user % 4 == 0, "high").otherwise("medium")).alias("severity"),
+        F.col("event_type").alias("attack_type"), label("policy", 3).alias("policy_name"),
+        sometimes(F.lit("risk")).alias("reason"), label("component", 4).alias("component"),
+        F.col("event_type").alias("error_type"), sometimes(label("operation", 2)).alias("operation"),
+        F.when(k % 5 != 0, F.col("value") / 1000).alias("latency"),
+    )
+
+
+def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_columns(table(spark, sf_dir, "events"))
+
+
+METRICS_SQL = """
+base as (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+metric_events as materialized (
+  select event_id as id, epoch_us(ts) as ts_us,
+    ['packet_processed', 'feature_extracted', 'inference_completed', 'anomaly_detected', 'attack_classified',
+     'block_executed', 'alert_generated', 'error_occurred', 'processing_latency', 'custom_metric'][k % 11 + 1] as type,
+    case when k % 3 <> 0 then 'sensor' || (user_id % 3) end as source, event_type as protocol, 'flow' as feature_type,
+    case when k % 3 <> 0 then 'model' || (user_id % 2) end as model_name,
+    case when user_id % 2 = 0 then 'attack' else 'normal' end as prediction,
+    case when k % 3 <> 0 then case when user_id % 4 = 0 then 'high' else 'medium' end end as severity,
+    event_type as attack_type, 'policy' || (user_id % 3) as policy_name, case when k % 3 <> 0 then 'risk' end as reason,
+    'component' || (user_id % 4) as component, event_type as error_type,
+    case when k % 3 <> 0 then 'operation' || (user_id % 2) end as operation,
+    case when k % 5 <> 0 then value / 1000 end as latency
+  from base)"""
+
+
+def host_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("value")
+    up_to = lambda c: F.least(F.lit(100.0), c)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"),
+        up_to(value).alias("cpu_percent"), up_to(value * 1.5).alias("memory_percent"),
+        up_to(value * 2).alias("disk_usage_percent"),
+        F.array(value / 20, value / 40, value / 60).alias("load_average"),
+        F.col("user_id").alias("host"),
+    )
+
+
+READINGS_SQL = """
+readings as materialized (
+  select event_id as id, epoch_us(ts) as ts_us, least(100.0, value) as cpu_percent, least(100.0, value * 1.5) as memory_percent,
+    least(100.0, value * 2) as disk_usage_percent, value / 20 as load1, value / 40 as load5, value / 60 as load15, user_id as host
+  from events)"""
+
+# The moment the metric queries take as "now": the end of the last day of `events`.
+NOW = 1_706_659_200 * SECOND
