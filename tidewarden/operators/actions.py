@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden.operators.anchored import HOT_ROWS, anchored_windows
 from tidewarden.operators.policies import BLOCK_SECONDS, ip_list
 from tidewarden.operators.running import running_totals, totals_between
-from tidewarden.session import broadcast_if_small
+from tidewarden.session import broadcast_if_small, materialize
 
 # The actions that are carried out; others are ignored.
 ACTIONS = ("block_ip", "alert", "monitor", "allow")
@@ -55,13 +55,14 @@ def block_intervals(actions: DataFrame, seconds: int = BLOCK_SECONDS, hot_rows:
     """Block intervals per source: an attempt blocks only if no block is active then.
 
     A block ends after ``seconds`` (at that moment it no longer holds) or at the next allow. The attempts
-    between two allows form an episode of their own, inside which blocks are anchored windows.
+    between two allows form an episode of their own, inside which blocks are anchored windows. The acts are
+    written once, as a slim table, because episodes, hot addresses and allows each read them.
     """
     at = F.unix_micros("timestamp")
-    acts = actions.filter(F.col("act").isin("block_ip", "allow")).select(
+    acts = materialize(actions.filter(F.col("act").isin("block_ip", "allow")).select(
         F.col("src_ip").alias("ip"), at.alias("at"), F.struct("result_id", "rank", "step").alias("id"),
         "act", "reason", "policy_name", "severity",
-    )
+    ))
     counted = running_totals(acts, ["ip"], ["at", "id"], {"episode": (F.col("act") == "allow").cast("int")}, HOUR)
     attempts = counted.filter("act = 'block_ip'").drop("act")
     opened = anchored_windows(attempts, ["ip", "episode"], "at", "id", seconds * 1_000_000 - 1, None, hot_rows).filter(

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 KEY_DEFAULT = "unknown"
+# Times keep their microseconds on the way.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def keyed_json(df: DataFrame, key: str | Column) -> DataFrame:
     """(key, value) with the whole row as JSON; a missing key becomes ``unknown``."""
     key = F.col(key) if isinstance(key, str) else key
-    return df.select(F.coalesce(key, F.lit(KEY_DEFAULT)).alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return df.select(F.coalesce(key, F.lit(KEY_DEFAULT)).alias("key"), F.to_json(F.struct("*"), JSON_OPTIONS).alias("value"))
 
 
 def write_keyed_json(df: DataFrame, key: str | Column, path: str | None = None, **kafka: str) -> None:

@@ -21,10 +21,10 @@ def _field(name: str) -> Column:
 
 
 def _value(name: str, kind: str) -> Column:
-    text = _field(name)
     if name == "ts":
         seconds = _field("timestamp").try_cast("double")
         return F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint"))
+    text = _field(name)
     if kind == "boolean":
         return text == "T"
     if name in DASH_COLUMNS:
@@ -38,9 +38,9 @@ def parse_conn_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     A bad row is rejected on its own; the rows after it stay.
     """
     other = [c for c in lines.columns if c != value]
-    text = lines.filter(~F.startswith(value, F.lit("#"))).withColumn(
-        "_fields", F.split(F.trim(F.col(value), F.lit(BLANKS)), "\t")
-    )
+    # A one-element explode keeps later filters above the split, which would otherwise run once per field.
+    fields = F.explode(F.array(F.split(F.trim(F.col(value), F.lit(BLANKS)), "\t")))
+    text = lines.filter(~F.startswith(value, F.lit("#"))).select("*", fields.alias("_fields"))
     parsed = text.select(
         *other, value, F.size("_fields").alias("_size"),
         *[_value(f.name, f.dataType.simpleString()).alias(f.name) for f in FLOW_SCHEMA.fields],
