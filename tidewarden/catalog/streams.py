@@ -121,7 +121,7 @@ select f.record_id, f.src_ip, count(distinct g.dst_ip) as unique_dst_ips, count(
   cast(sum(case when g.ts_us > f.ts_us - {WIDTH} then g.orig_bytes + g.resp_bytes else 0 end) as bigint) as recent_bytes
 from flows f join flows g on g.src_ip = f.src_ip and g.ts_us <= f.ts_us group by 1, 2"""))
 def _(spark, sf):
-    return drain(stream_host_context(flow_stream(spark, sf), WIDTH)).select(
+    return drain(stream_host_context(flow_stream(spark, sf), WIDTH, LATE)).select(
         "record_id", "src_ip", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes")
 
 
@@ -138,14 +138,15 @@ def _(spark, sf):
 
 
 def staged(spark, sf):
-    """Two files in order: the first half of the month, then the second half with stragglers of the first."""
+    """Three files in order: the first half of the month, half of the rest, then the remainder with stragglers
+    of the first half. A watermark drops late rows from the second batch after the one that set it."""
     path = run_dir(spark, "staged")
-    middle = F.timestamp_seconds(F.lit(1705320000))
-    straggler = (F.col("ts") < middle) & (F.col("record_id") % 50 == 0)
+    first_half = F.col("ts") < F.timestamp_seconds(F.lit(1705320000))
+    straggler = first_half & (F.col("record_id") % 50 == 0)
+    odd = F.col("record_id") % 2 == 1
     f = flows(spark, sf)
-    early = f.filter((F.col("ts") < middle) & ~straggler)
-    for part in (early, f.filter((F.col("ts") >= middle) | straggler)):
-        part.coalesce(1).write.mode("append").parquet(path)
+    for part in (first_half & ~straggler, ~first_half & ~odd, (~first_half & odd) | straggler):
+        f.filter(part).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -186,7 +187,7 @@ def _(spark, sf):
 
 @query("t7_micro_batches", with_sql(FLOWS_SQL, "select protocol, count(*) as records from flows group by 1"))
 def _(spark, sf):
-    """Two triggers over a staged folder; each file is read once."""
+    """Three triggers over a staged folder; each file is read once."""
     return drain(staged(spark, sf).select("record_id", "protocol")).groupBy("protocol").agg(F.count(F.lit(1)).alias("records"))
 
 

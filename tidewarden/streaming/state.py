@@ -114,58 +114,73 @@ class _WithKey(StatefulProcessor):
 
 
 class HostContextProcessor(StatefulProcessor):
-    """Distinct destinations so far and totals of the last ``width`` for each record of one host."""
+    """Distinct destinations so far and totals of the last ``width`` for each record of one host.
+
+    A micro-batch asks the state once per distinct destination. A host that stays silent for ``idle`` of
+    event time is forgotten whole.
+    """
 
-    ROW = "at long, record_id long, bytes long, packets long, dst_ip string, dst_port int"
     COLUMNS = ["at", "record_id", "bytes", "packets", "dst_ip", "dst_port"]
+    OUT = ["src_ip", "record_id", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes", "recent_packets"]
 
-    def __init__(self, width: int, ttl_ms: int) -> None:
-        self.width, self.ttl_ms = width, ttl_ms
+    def __init__(self, width: int, idle: int) -> None:
+        self.width, self.idle = width, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ips = handle.getMapState("ips", "ip string", "first long", self.ttl_ms)
-        self.ports = handle.getMapState("ports", "port int", "first long", self.ttl_ms)
-        self.recent = handle.getListState("recent", "at long, bytes long, packets long", self.ttl_ms)
+        self.handle = handle
+        self.known = handle.getMapState("known", "dst string", "first long")
+        self.totals = handle.getValueState("totals", "ips long, ports long, due long")
+        self.recent = handle.getListState("recent", "at long, bytes long, packets long")
+
+    def _unknown(self, names: set[str]) -> set[str]:
+        return {n for n in names if not self.known.containsKey((n,))}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         arrived = sorted(tuple(r) for batch in rows for r in batch[self.COLUMNS].astype(object).itertuples(index=False))
-        recent = list(self.recent.get()) if self.recent.exists() else []
-        ips, ports = len(list(self.ips.keys())), len(list(self.ports.keys()))
-        counts, total_b, total_p = [], sum(r[1] for r in recent), sum(r[2] for r in recent)
+        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        ips, ports, due = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        fresh = self._unknown({f"ip {r[4]}" for r in arrived if r[4]} | {f"port {r[5]}" for r in arrived if r[5]})
+        out, total_b, total_p = [], sum(r[1] for r in recent), sum(r[2] for r in recent)
         oldest = 0
         for at, record_id, size, packets, ip, port in arrived:
-            if ip and not self.ips.containsKey((ip,)):
-                self.ips.updateValue((ip,), (at,))
-                ips += 1
-            if port and not self.ports.containsKey((port,)):
-                self.ports.updateValue((port,), (at,))
-                ports += 1
+            for name, is_ip in ((f"ip {ip}", True), (f"port {port}", False)):
+                if name in fresh:
+                    fresh.discard(name)
+                    self.known.updateValue((name,), (at,))
+                    ips, ports = ips + is_ip, ports + (not is_ip)
             recent.append((at, size, packets))
             total_b, total_p = total_b + size, total_p + packets
             while recent[oldest][0] <= at - self.width:
                 total_b, total_p = total_b - recent[oldest][1], total_p - recent[oldest][2]
                 oldest += 1
-            counts.append((key[0], record_id, ips, ports, len(recent) - oldest, total_b, total_p))
+            out.append((key[0], record_id, ips, ports, len(recent) - oldest, total_b, total_p))
         self.recent.put(recent[oldest:])
-        yield pd.DataFrame(counts, columns=["src_ip", "record_id", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes", "recent_packets"])
+        if due:
+            self.handle.deleteTimer(due)
+        due = max(due, due_ms(arrived[-1][0] + self.idle))
+        self.handle.registerTimer(due)
+        self.totals.update((ips, ports, due))
+        yield pd.DataFrame(out, columns=self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.known, self.totals, self.recent):
+            state.clear()
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def stream_host_context(records: DataFrame, width: int, ttl_hours: int = 24 * 7) -> DataFrame:
-    """Host context per record as it arrives. Idle hosts are forgotten after ``ttl_hours``."""
+def stream_host_context(records: DataFrame, width: int, late: str = "10 minutes", idle_hours: int = 24 * 7) -> DataFrame:
+    """Host context per record as it arrives. A host is forgotten after ``idle_hours`` of silence."""
     use_rocksdb(records.sparkSession)
-    slim = records.filter(or_default("src_ip", "") != "").select(
-        "src_ip", micros().alias("at"), "record_id", total_bytes().alias("bytes"), total_packets().alias("packets"),
+    slim = records.withWatermark("ts", late).filter(or_default("src_ip", "") != "").select(
+        "src_ip", "ts", micros().alias("at"), "record_id", total_bytes().alias("bytes"), total_packets().alias("packets"),
         or_default("dst_ip", "").alias("dst_ip"), or_default("dst_port", 0).alias("dst_port"),
     )
     schema = "src_ip string, record_id long, unique_dst_ips long, unique_dst_ports long, recent_flows long, recent_bytes long, recent_packets long"
     return slim.groupBy("src_ip").transformWithStateInPandas(
-        HostContextProcessor(width, ttl_hours * 3_600_000), schema, "Append", "ProcessingTime"
+        HostContextProcessor(width, idle_hours * 3_600_000_000), schema, "Append", "EventTime"
     )
 
 
