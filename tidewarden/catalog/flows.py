@@ -157,6 +157,18 @@ def _(spark, sf):
     return hosts.host_context(flows(spark, sf), s, WINDOW_KEY, WIDTH).select("flow_key", "window_id", *hosts.RECENT)
 
 
+@query("a11_bounded_history", with_sql(STATS_SQL, f""",
+seen as (
+  select s.flow_key, s.window_id, s.first_at, f.* from stats s join flows f on f.src_ip = s.src_ip and f.ts_us <= s.last_at
+  qualify row_number() over (partition by s.window_id order by f.ts_us desc, f.record_id desc) <= 20)
+select flow_key, window_id, count(*) as recent_flows, cast(sum(orig_bytes + resp_bytes) as bigint) as recent_bytes,
+  cast(sum(orig_pkts + resp_pkts) as bigint) as recent_packets from seen where ts_us > first_at - {WIDTH} group by 1, 2"""))
+def _(spark, sf):
+    """Only a host's newest 20 records count as recent."""
+    s = stats(spark, sf)
+    return hosts.host_context(flows(spark, sf), s, WINDOW_KEY, WIDTH, max_history=20).select("flow_key", "window_id", *hosts.RECENT)
+
+
 @query("j6_trailing_join", with_sql(CONTEXT_SQL, "select window_id, src_ip, recent_flows, recent_bytes from features"))
 def _(spark, sf):
     s = stats(spark, sf)

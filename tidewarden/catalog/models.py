@@ -206,7 +206,7 @@ def _(spark, sf):
 @query("r12_training_run")
 def _(spark, sf):
     return train_all(labelled(spark, sf).drop("ts"), "record_id", run_dir(spark, "training"), forest=FOREST, boosting=BOOSTING,
-                     forest_grid={"numTrees": [3], "maxDepth": [3, 5]}, boosting_grid={"maxIter": [2], "maxDepth": [2, 3]}, trees=20)
+                     forest_grid={"numTrees": [3], "maxDepth": [3, 5]}, boosting_grid={"maxIter": [2], "maxDepth": [2]}, trees=20)
 
 
 def trained(spark, sf):

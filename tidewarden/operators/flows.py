@@ -16,9 +16,10 @@ from tidewarden.session import materialize
 from tidewarden.schemas import DNS_SCHEMA, FEATURE_SCHEMA, HTTP_SCHEMA, TEXT_COLUMNS
 
 SECOND = 1_000_000
-# 60 s windows of at most 1000 records.
+# 60 s windows of at most 1000 records; a host's newest 1000 records count as recent.
 WINDOW_US = 60 * SECOND
 WINDOW_RECORDS = 1000
+HOST_HISTORY = 1000
 WINDOW_KEY = ["flow_key", "window_at", "window_id"]
 
 
@@ -108,14 +109,15 @@ def window_statistics(windowed: DataFrame, text: bool = True) -> DataFrame:
 
 
 def flow_features(
-    records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS
+    records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS,
+    max_history: int | None = HOST_HISTORY,
 ) -> DataFrame:
     """The full feature record of every flow window, keyed by the window, with its host's context.
 
     The window statistics are written once: the host context reads them twice, and only four columns of them.
     """
     stats = materialize(window_statistics(flow_windows(records, width, cap, hot_rows)))
-    context = host_context(records, stats.filter("src_ip <> ''"), WINDOW_KEY, width)
+    context = host_context(records, stats.filter("src_ip <> ''"), WINDOW_KEY, width, max_history=max_history)
     joined = stats.join(context.drop("src_ip"), WINDOW_KEY, "left")
     return feature_record(joined)
 

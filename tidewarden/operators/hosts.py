@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.records import micros, or_default, total_bytes, total_packets
-from tidewarden.operators.running import totals_between
+from tidewarden.operators.running import running_totals, totals_between
 
 HOUR = 3_600_000_000
 DISTINCT = ("unique_dst_ips", "unique_dst_ports")
@@ -51,18 +51,54 @@ def host_events(records: DataFrame) -> DataFrame:
     return seen.unionByName(contact_events(records), allowMissingColumns=True)
 
 
+def slice_for(width: int) -> int:
+    """Slices no narrower than the window, and no narrower than an hour, keep the slice table small."""
+    return max(width, HOUR)
+
+
 def host_context(
-    records: DataFrame, probes: DataFrame, probe_id: list[str], width: int, slice_width: int = HOUR
+    records: DataFrame, probes: DataFrame, probe_id: list[str], width: int, slice_width: int | None = None,
+    max_history: int | None = None,
 ) -> DataFrame:
-    """Host totals for probes (src_ip, *probe_id, first_at, last_at), linear in records whatever the width."""
+    """Host totals for probes (src_ip, *probe_id, first_at, last_at), linear in records whatever the width.
+
+    ``max_history`` limits "recent" to a host's newest that many records at the probe's last moment.
+    """
+    slices = slice_width or slice_for(width)
     asked = probes.select("src_ip", *probe_id, (F.col("first_at") - width).alias("since"), F.col("last_at").alias("until"))
-    return totals_between(
-        host_events(records), asked, ["src_ip"], probe_id,
-        {n: F.col(n) for n in (*DISTINCT, *RECENT)}, slice_width, since_start=DISTINCT,
+    totals = {n: F.col(n) for n in (*DISTINCT, *RECENT)}
+    if max_history is None:
+        return totals_between(host_events(records), asked, ["src_ip"], probe_id, totals, slices, since_start=DISTINCT)
+    ever = {f"_ever_{n}": F.col(n) for n in RECENT}
+    context = totals_between(
+        host_events(records), asked, ["src_ip"], probe_id, {**totals, **ever}, slices, since_start=(*DISTINCT, *ever)
+    )
+    return _newest_only(context, records, probe_id, slices, max_history)
+
+
+def _newest_only(context: DataFrame, records: DataFrame, probe_id: list[str], slices: int, limit: int) -> DataFrame:
+    """Where more than ``limit`` records are recent, subtract what lies before the newest ``limit``.
+
+    The totals at that place are found by position, an equality join without skew.
+    """
+    seen = host_records(records).select(
+        "src_ip", micros().alias("at"), "record_id", total_bytes().alias("b"), total_packets().alias("p")
+    )
+    placed = running_totals(
+        seen, ["src_ip"], ["at", "record_id"], {"_pos": F.lit(1), "_b": F.col("b"), "_p": F.col("p")}, slices
+    ).select("src_ip", "_pos", "_b", "_p")
+    over = F.col("recent_flows") > limit
+    before = context.withColumn("_pos", F.when(over, F.col("_ever_recent_flows") - limit))
+    joined = before.join(placed, ["src_ip", "_pos"], "left")
+    return joined.select(
+        "src_ip", *probe_id, *DISTINCT,
+        F.least("recent_flows", F.lit(limit).cast("long")).alias("recent_flows"),
+        F.when(over, F.col("_ever_recent_bytes") - F.col("_b")).otherwise(F.col("recent_bytes")).alias("recent_bytes"),
+        F.when(over, F.col("_ever_recent_packets") - F.col("_p")).otherwise(F.col("recent_packets")).alias("recent_packets"),
     )
 
 
-def distinct_so_far(records: DataFrame, slice_width: int = HOUR) -> DataFrame:
+def distinct_so_far(records: DataFrame, slice_width: int = 24 * HOUR) -> DataFrame:
     """Per record: distinct destination addresses and ports of its host up to its time."""
     at = micros()
     probes = host_records(records).select("src_ip", "record_id", at.alias("since"), at.alias("until"))
@@ -71,13 +107,13 @@ def distinct_so_far(records: DataFrame, slice_width: int = HOUR) -> DataFrame:
     )
 
 
-def trailing_totals(records: DataFrame, width: int, slice_width: int = HOUR) -> DataFrame:
+def trailing_totals(records: DataFrame, width: int, slice_width: int | None = None) -> DataFrame:
     """Per record: flows, bytes and packets of its host in ``(ts - width, ts]``."""
     at = micros()
     probes = host_records(records).select("src_ip", "record_id", (at - width).alias("since"), at.alias("until"))
     events = host_records(records).select("src_ip", at.alias("at"), total_bytes().alias("b"), total_packets().alias("p"))
     totals = dict(zip(RECENT, (F.lit(1), F.col("b"), F.col("p"))))
-    return totals_between(events, probes, ["src_ip"], ["record_id"], totals, slice_width)
+    return totals_between(events, probes, ["src_ip"], ["record_id"], totals, slice_width or slice_for(width))
 
 
 def last_per_key(df: DataFrame, keys: list[str], newest: list[str], limit: int) -> DataFrame:
