@@ -132,3 +132,14 @@ def test_block_expires_exactly(spark):
     assert active_blocks(b, base + 300_000_000).count() == 1
     asked = spark.createDataFrame([("a", i, base + s * 1_000_000) for i, s in enumerate((-1, 0, 599, 600))] + [("z", 9, base)], "ip string, id long, until long")
     assert {r["id"]: r["is_blocked"] for r in blocked_at_time(asked, b, ["id"]).collect()} == {0: False, 1: True, 2: True, 3: False, 9: False}
+
+
+def test_sequences_reach_back_over_block_borders(spark):
+    pick = random.Random(9)
+    rows = [("hot" if pick.random() < 0.7 else "b", pick.randrange(50) * 86_400_000_000, i, [float(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "src_ip string, window_at long, window_id long, vector array<double>")
+    got = {r["window_id"]: [v[0] for v in r["sequence"]] for r in scoring.host_sequences(df, 4, block=5).collect()}
+    for host in ("hot", "b"):
+        mine = [r[2] for r in sorted((r for r in rows if r[0] == host), key=lambda r: r[1:3])]
+        for i, window in enumerate(mine):
+            assert got[window] == [float(x) for x in mine[max(0, i - 3): i + 1]]

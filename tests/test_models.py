@@ -47,13 +47,15 @@ def test_split_keeps_label_shares(points):
     assert counts == {("plain", True): 120, ("plain", False): 480, ("odd", True): 4, ("odd", False): 16}
 
 
-def test_auc_equals_the_evaluator(spark):
+def test_auc_counts_ties_half(spark):
     rng = np.random.default_rng(5)
-    rows = [(float(y), float(np.round(y * 0.3 + rng.normal(), 1))) for y in rng.integers(0, 2, 500)]
-    df = spark.createDataFrame(rows, "label double, score double")
-    ours = evaluate.mean_auc(df.withColumn("label", F.col("label").cast("int")), "label", F.array(-F.col("score"), F.col("score"))).first()[0]
-    theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(df)
-    assert ours == pytest.approx(theirs)
+    rows = [(int(y), float(np.round(y * 0.3 + rng.normal(), 1))) for y in rng.integers(0, 2, 500)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    ours = evaluate.mean_auc(df, "label", F.array(-F.col("score"), F.col("score"))).first()[0]
+    up, down = [s for y, s in rows if y], [s for y, s in rows if not y]
+    assert ours == pytest.approx(sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down))
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(df.withColumn("label", F.col("label").cast("double")))
+    assert ours == pytest.approx(theirs, abs=1e-3)
 
 
 def test_classifier_is_saved_with_its_scaling_and_loaded_by_name(spark, points):

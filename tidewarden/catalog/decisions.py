@@ -118,13 +118,13 @@ def _(spark, sf):
 seqs as (select window_id, byte_count, sum(byte_count) over w as total, count(*) over w as n from stats
   window w as (partition by src_ip order by window_at, window_id rows 4 preceding)),
 scored as (select window_id, case when n > 1 and total > 0 then least(1.0, byte_count / cast(total as double)) else 0.0 end as s from seqs)
-select window_id, round(s, 4) as sequence_anomaly_score, s > 0.6 as is_sequence_anomaly from scored"""))
+select window_id, round(s, 6) as sequence_anomaly_score, s > 0.6 as is_sequence_anomaly from scored"""))
 def _(spark, sf):
     """The last five windows of each host, scored by a plain rule; models plug in the same way."""
     v = feature_vector(window_features(spark, sf))
     s = scoring.host_sequences(v, 5).withColumn("score", scoring.mean_shift())
     r = s.select("window_id", scoring.sequence_result("score").alias("s"))
-    return r.select("window_id", F.round("s.sequence_anomaly_score", 4).alias("sequence_anomaly_score"), "s.is_sequence_anomaly")
+    return r.select("window_id", F.round("s.sequence_anomaly_score", 6).alias("sequence_anomaly_score"), "s.is_sequence_anomaly")
 
 
 @query("m3_sequence_default", with_sql(STATS_SQL, "select window_id, 0.0 as sequence_anomaly_score, false as is_sequence_anomaly from stats"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.records import clamp01, or_default
+from tidewarden.operators.running import running_totals
 
 # Score thresholds, all strict.
 ANOMALY_THRESHOLD = 0.8
@@ -16,6 +17,10 @@ SEQUENCE_THRESHOLD = 0.6
 HIGH_RISK = 0.8
 MEDIUM_RISK = 0.6
 
+DAY = 86_400_000_000
+# Rows of one host that are handled together when its sequences are built.
+SEQUENCE_BLOCK = 4096
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -135,26 +140,20 @@ def score(features: DataFrame, scorer: Scorer = traffic_rule) -> DataFrame:
     })).drop("_anomaly", "_confidence", "_label", "_sequence")
 
 
-def host_sequences(df: DataFrame, length: int, vector: str = "vector") -> DataFrame:
+def host_sequences(df: DataFrame, length: int, vector: str = "vector", block: int = SEQUENCE_BLOCK) -> DataFrame:
     """Add each window's own vector and up to ``length - 1`` earlier ones of its host, oldest first.
 
-    Rows meet per host and day; the first rows of a day get the previous day's last ones by a copy of each
-    day's final ``length - 1`` rows, so a busy host is spread over its days.
+    A host's windows are numbered and cut into blocks of ``block`` rows; the last ``length - 1`` rows of a block
+    are copied into the next one, so a busy host is spread over many tasks and no history is lost.
     """
-    day = F.floor(F.col("window_at") / F.lit(86_400_000_000))
-    rows = df.withColumn("_day", day)
-    latest = Window.partitionBy("src_ip", "_day").orderBy(F.col("window_at").desc(), F.col("window_id").desc())
-    slim = rows.select("src_ip", "_day", "window_at", "window_id", vector)
-    tail = slim.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") < length).drop("_r")
-    days = Window.partitionBy("src_ip").orderBy("_day")
-    next_day = slim.select("src_ip", "_day").distinct().withColumn("_next", F.lead("_day").over(days))
-    carried = (
-        tail.join(next_day.filter("_next is not null"), ["src_ip", "_day"])
-        .withColumn("_day", F.col("_next")).drop("_next").withColumn("_copy", F.lit(True))
-    )
-    ordered = Window.partitionBy("src_ip", "_day").orderBy("window_at", "window_id").rowsBetween(1 - length, 0)
-    both = rows.withColumn("_copy", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    return both.withColumn("sequence", F.collect_list(vector).over(ordered)).filter("not _copy").drop("_copy", "_day")
+    numbered = running_totals(df, ["src_ip"], ["window_at", "window_id"], {"_pos": F.lit(1)}, DAY)
+    place = F.floor((F.col("_pos") - 1) / block)
+    reaches_on = (F.col("_pos") - 1) % block >= block - (length - 1)
+    own = F.struct(place.alias("block"), F.lit(False).alias("copy"))
+    ahead = F.when(reaches_on, F.struct((place + 1).alias("block"), F.lit(True).alias("copy")))
+    placed = numbered.select("*", F.explode(F.array_compact(F.array(own, ahead))).alias("_in"))
+    ordered = Window.partitionBy("src_ip", "_in.block").orderBy("_pos").rowsBetween(1 - length, 0)
+    return placed.withColumn("sequence", F.collect_list(vector).over(ordered)).filter("not _in.copy").drop("_in", "_pos")
 
 
 def mean_shift(sequence: str = "sequence", entry: int = 2) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.session import shared_dir
 from tidewarden.training.evaluate import accuracy, mean_auc
-from tidewarden.training.prepare import SEED, fold_numbers, label_stage, population_moments, scaling_stage, vector_stage
+from tidewarden.training.prepare import LABEL_INDEX, SEED, fold_numbers, label_stage, population_moments, scaling_stage, vector_stage
 
 # Estimator settings and search grids.
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2}
@@ -28,14 +28,14 @@ def checkpointing(spark: SparkSession) -> None:
 
 
 def random_forest(**settings) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="label", featuresCol="features", seed=SEED, checkpointInterval=10,
+    return RandomForestClassifier(labelCol=LABEL_INDEX, featuresCol="features", seed=SEED, checkpointInterval=10,
                                   cacheNodeIds=True, **{**FOREST, **settings})
 
 
 def gradient_boosting(classes: int, **settings):
     """Boosted trees; more than two classes are fitted one against the rest."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", seed=SEED, checkpointInterval=10, **{**BOOSTING, **settings})
-    return gbt if classes <= 2 else OneVsRest(classifier=gbt, labelCol="label", featuresCol="features")
+    gbt = GBTClassifier(labelCol=LABEL_INDEX, featuresCol="features", seed=SEED, checkpointInterval=10, **{**BOOSTING, **settings})
+    return gbt if classes <= 2 else OneVsRest(classifier=gbt, labelCol=LABEL_INDEX, featuresCol="features")
 
 
 def sampled_boosting(classes: int, **settings):
@@ -68,8 +68,8 @@ def evaluate(name: str, model: PipelineModel, test: DataFrame) -> DataFrame:
     """(model, metric, value) rows for accuracy and AUC."""
     scored = predict(model, test)
     parts = [
-        accuracy(scored).select(F.lit(name).alias("model"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-        mean_auc(scored.withColumn("label", F.col("label").cast("int")), "label", "class_probabilities").select(
+        accuracy(scored, LABEL_INDEX).select(F.lit(name).alias("model"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        mean_auc(scored.withColumn(LABEL_INDEX, F.col(LABEL_INDEX).cast("int")), LABEL_INDEX, "class_probabilities").select(
             F.lit(name).alias("model"), F.lit("auc").alias("metric"), F.col("auc_score").alias("value")),
     ]
     return parts[0].unionByName(parts[1])
@@ -88,9 +88,9 @@ def grid_search(
     prepared = Pipeline(stages=stages).fit(train).transform(fold_numbers(train, row_id, folds))
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold", seed=SEED,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label"),
+        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol=LABEL_INDEX),
     )
-    return search.fit(prepared.select("features", "label", "fold"))
+    return search.fit(prepared.select("features", LABEL_INDEX, "fold"))
 
 
 def search_results(model: CrossValidatorModel) -> list[tuple[str, float]]:

@@ -12,6 +12,8 @@ SEED = 42
 TEST_SHARE = 0.2
 HASH_BITS = 60
 HASH_SLICES = 1024
+# Not "label": column names ignore case, and the table's own column is "Label".
+LABEL_INDEX = "label_index"
 
 
 def population_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -41,7 +43,7 @@ def label_codes(df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def label_stage(label: str = "Label") -> StringIndexer:
-    return StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
+    return StringIndexer(inputCol=label, outputCol=LABEL_INDEX, stringOrderType="alphabetAsc", handleInvalid="keep")
 
 
 def vector_stage(columns: list[str], prefix: str = "scaled_") -> VectorAssembler:
