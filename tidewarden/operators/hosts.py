@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.records import micros, or_default, total_bytes, total_packets
 from tidewarden.operators.running import running_totals, totals_between
+from tidewarden.session import materialize
 
 HOUR = 3_600_000_000
 DISTINCT = ("unique_dst_ips", "unique_dst_ports")
@@ -70,9 +71,12 @@ def host_context(
     if max_history is None:
         return totals_between(host_events(records), asked, ["src_ip"], probe_id, totals, slices, since_start=DISTINCT)
     ever = {f"_ever_{n}": F.col(n) for n in RECENT}
-    context = totals_between(
+    context = materialize(totals_between(
         host_events(records), asked, ["src_ip"], probe_id, {**totals, **ever}, slices, since_start=(*DISTINCT, *ever)
-    )
+    ))
+    # The second sort of all records is planned only if some host was that busy.
+    if context.filter(F.col("recent_flows") > max_history).isEmpty():
+        return context.drop(*ever)
     return _newest_only(context, records, probe_id, slices, max_history)
 
 
