@@ -15,7 +15,7 @@ from tidewarden.training.one_class import fit_one_class
 from tidewarden.training.prepare import standardize, stratified_split
 from tidewarden.training.registry import append_run, save_models
 
-EXPERIMENT = "ids-ips-training"
+EXPERIMENT = "flow-models"
 
 
 def train_all(
