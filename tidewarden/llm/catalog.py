@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import quality_rules, simhash
+from tidewarden.llm import mixing, packing, quality_rules, repeats, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TARGETS = {
+    "source": {"src0": 0.3},
+    "lang": {"en": 0.57, "de": 0.17, "fr": 0.15, "es": 0.1},
+    "topic": {"t0": 0.25, "t1": 0.25, "t2": 0.25, "t3": 0.25},
+}
+
+
+def tokenizer_file(name: str) -> str:
+    """Where an installed public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op1_substring_dedup", r"""with words as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+places as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from words),
+windows as (select doc_id, i, min(doc_id) over (partition by list_aggregate(ws[i:i + 12], 'string_agg', ' ')) as first from places),
+gone as (select distinct doc_id, i + k as i from windows, unnest(range(0, 13)) u(k) where first < doc_id),
+flat as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from words),
+kept as (select f.doc_id, string_agg(f.w, ' ' order by f.i) as t from flat f anti join gone g on f.doc_id = g.doc_id and f.i = g.i group by 1),
+cut as (select doc_id, count(*) as n from gone group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(c.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from words left join kept k using (doc_id) left join cut c using (doc_id)""")
+def _(spark, sf_dir):
+    kept = repeats.repeat_digest(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_mixing")
+def _(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"), TARGETS)
+
+
+@query("op6_packing")
+def _(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 @query("op3_simhash")
 def _(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
