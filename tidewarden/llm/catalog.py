@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import mixing, packing, quality_rules, repeats, simhash
+from tidewarden.llm import (
+    fuzzy_hash, hilbert, mixing, packing, quality_model, quality_rules, repeats, simhash, token_counts, url_templates,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -59,6 +61,36 @@ def _(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"), TARGETS)
 
 
+@query("op2_fuzzy_hash")
+def _(spark, sf_dir):
+    return fuzzy_hash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query("op5_url_templates")
+def _(spark, sf_dir):
+    return url_templates.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op7_token_counts")
+def _(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op8_quality_model")
+def _(spark, sf_dir):
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_hilbert_shards")
+def _(spark, sf_dir):
+    found = hilbert.sharded(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
 @query("op6_packing")
 def _(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
