@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewarden.llm.words import hashes_of, mixed, packed_rows, slices, word_spans
 from tidewarden.session import materialize
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 # Text bytes whose windows share one bucket, and the least number of buckets.
 BUCKET = 16 << 20
 MIN_BUCKETS = 64
