@@ -34,8 +34,8 @@ CLOSING_ID = 1
 # Sequences' worth of tokens in a packing group.
 GROUP = 1024
 # Distinct words whose ids a Python worker remembers, and bytes of text it tokenises at once.
-REMEMBERED = 600_000
-STEP = 4 << 20
+REMEMBERED = 200_000
+STEP = 2 << 20
 
 
 def parted(texts: pa.Array) -> pa.Array:
