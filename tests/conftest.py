@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     session = build_session("local[8]", "tests", **{
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
+        "spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "8",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

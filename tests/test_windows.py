@@ -87,3 +87,16 @@ def test_totals_between_matches_brute_force(spark):
     want = {i: (sum(1 for k, t, _ in events if k == key and lo < t <= hi), sum(v for k, t, v in events if k == key and lo < t <= hi),
                 sum(v for k, t, v in events if k == key and t <= hi)) for key, i, lo, hi in probes}
     assert {r["id"]: (r["n"], r["v"], r["ever"]) for r in got} == want
+
+
+def test_null_times_and_keys_are_windowed_alike_on_both_paths(spark):
+    rows = [(k, t, i) for i, (k, t) in enumerate([("a", None), ("a", None), ("a", 5), ("a", 40), (None, 3), (None, None), ("b", None), ("b", 100)])]
+    df = spark.createDataFrame(rows, "k string, at long, id long")
+    cold, hot = (sorted(anchored_windows(df, ["k"], "at", "id", 10, None, hot_rows=n).collect(), key=lambda r: r["id"]) for n in (1000, 1))
+    assert cold == hot and len(cold) == len(rows) and [r["window_id"] for r in cold] == [0, 0, 0, 3, 5, 5, 6, 7]
+
+
+def test_running_totals_keep_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, at long")
+    got = running_totals(df, ["k"], ["at"], {"n": F.lit(1)}, 10).collect()
+    assert sorted((str(r["k"]), r["at"], r["n"]) for r in got) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]

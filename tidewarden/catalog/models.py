@@ -195,7 +195,7 @@ def _(spark, sf):
 
 def search(spark, sf, estimator, grid):
     t, columns = ready(spark, sf)
-    found = c.grid_search(materialize(t), columns, estimator, grid, "record_id")
+    found, _ = c.grid_search(materialize(t), columns, estimator, grid, "record_id")
     return spark.createDataFrame(c.search_results(found), "settings string, accuracy double")
 
 

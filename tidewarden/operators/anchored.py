@@ -31,8 +31,13 @@ def anchored_windows(
     """Add ``window_at`` and ``window_id``: ``at`` and ``row_id`` of the row that opened the row's window.
 
     A row opens a window if the open one is older than ``width`` (strictly) or already holds ``cap`` rows.
-    ``row_id`` must be unique; rows are ordered by (``at``, ``row_id``).
+    ``row_id`` must be unique; rows are ordered by (``at``, ``row_id``). A missing time counts as 0.
     """
+    timed = df.withColumn("_timed", F.coalesce(F.col(at), F.lit(0)))
+    return _windows(timed, keys, "_timed", row_id, width, cap, hot_rows).drop("_timed")
+
+
+def _windows(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap: int | None, hot_rows: int) -> DataFrame:
     hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
     if hot.isEmpty():
         return _fold(df, keys, at, row_id, width, cap)

@@ -110,10 +110,12 @@ def window_statistics(windowed: DataFrame, text: bool = True) -> DataFrame:
 
 def flow_features(
     records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS,
-    max_history: int | None = HOST_HISTORY,
+    max_history: int | None = None,
 ) -> DataFrame:
     """The full feature record of every flow window, keyed by the window, with its host's context.
 
+    ``max_history`` (``HOST_HISTORY`` is the customary value) limits what counts as recent; by default nothing does.
+
     The window statistics are written once: the host context reads them twice, and only four columns of them.
     """
     stats = materialize(window_statistics(flow_windows(records, width, cap, hot_rows)))

@@ -66,11 +66,11 @@ def policy_table(spark: SparkSession, policies: list[Policy] = DEFAULT_POLICIES)
     return spark.createDataFrame(rows, POLICY_SCHEMA)
 
 
-def read_policies(table: DataFrame) -> list[Policy]:
+def read_policies(table: DataFrame, at_most: int = MAX_POLICIES) -> list[Policy]:
     """A policy table in insertion order. It is configuration, so a long one is an error."""
-    rows = table.orderBy("ordinal", "name").limit(MAX_POLICIES + 1).collect()
-    if len(rows) > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} policies")
+    rows = table.orderBy("ordinal", "name").limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} policies")
     return [
         Policy(r["name"], r["description"], json.loads(r["conditions"]), list(r["actions"]), r["priority"],
                r["enabled"], r["updated_at"])

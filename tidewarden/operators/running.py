@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 def running_totals(
     df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], slice_width: int
 ) -> DataFrame:
-    """Add inclusive running totals per ``keys`` in ``order``; ``order[0]`` is a long that also cuts the slices."""
+    """Add inclusive running totals per ``keys`` in ``order``; ``order[0]`` is a long that also cuts the slices.
+
+    Key and slice are joined as one struct, in which nulls are equal: rows with a null key, or without a place in
+    the order, are summed like any other (the latter first) and none is lost.
+    """
     names = list(totals)
     values = {f"_v_{n}": c.cast("long") for n, c in totals.items()}
-    sliced = df.withColumns({**values, "_slice": F.floor(F.col(order[0]) / F.lit(slice_width))})
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = df.withColumns({**values, "_key": F.struct(*keys, F.floor(F.col(order[0]) / F.lit(slice_width)).alias("_slice"))})
+    within = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*[F.col("_key")[k] for k in keys]).orderBy("_key._slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy("_key")
         .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-        .select(*keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+        .select("_key", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
     )
-    local = sliced.select(*df.columns, "_slice", *[F.sum(f"_v_{n}").over(within).alias(f"_l_{n}") for n in names])
-    return local.join(offsets, [*keys, "_slice"]).select(
+    local = sliced.select(*df.columns, "_key", *[F.sum(f"_v_{n}").over(within).alias(f"_l_{n}") for n in names])
+    return local.join(offsets, "_key").select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
     )
 
@@ -47,13 +51,13 @@ def totals_between(
 
     Totals named in ``since_start`` ignore the lower bound. Every probe comes back, with zeros where nothing
     falls inside.
-    Cost is one sort of events plus two marks per probe, whatever the width of the interval.
+    Cost is one sort of events plus the probes' marks, whatever the width of the interval: an upper one, and a lower
+    one if some total needs it.
     """
     names = list(totals)
-    mark = F.array(
-        F.struct(F.col(until).alias("at"), F.lit(1).alias("sign")),
-        F.struct(F.col(since).alias("at"), F.lit(-1).alias("sign")),
-    )
+    upper = F.struct(F.col(until).alias("at"), F.lit(1).alias("sign"))
+    lower = F.struct(F.col(since).alias("at"), F.lit(-1).alias("sign"))
+    mark = F.array(upper, lower) if set(names) - set(since_start) else F.array(upper)
     adds = events.select(
         *keys, F.col(at).alias("_at"), F.lit(0).alias("_sign"),
         *[c.cast("long").alias(n) for n, c in totals.items()],

@@ -144,8 +144,10 @@ def host_sequences(df: DataFrame, length: int, vector: str = "vector", block: in
     """Add each window's own vector and up to ``length - 1`` earlier ones of its host, oldest first.
 
     A host's windows are numbered and cut into blocks of ``block`` rows; the last ``length - 1`` rows of a block
-    are copied into the next one, so a busy host is spread over many tasks and no history is lost.
+    are copied into the next one, so a busy host is spread over many tasks and no history is lost. A block is never
+    shorter than a sequence.
     """
+    block = max(block, length)
     numbered = running_totals(df, ["src_ip"], ["window_at", "window_id"], {"_pos": F.lit(1)}, DAY)
     place = F.floor((F.col("_pos") - 1) / block)
     reaches_on = (F.col("_pos") - 1) % block >= block - (length - 1)

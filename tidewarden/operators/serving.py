@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.operators.scoring import Scorer, anomaly_from_decision, host_sequences
+from tidewarden.training.classifiers import class_probabilities
 from tidewarden.training.isolation_forest import IsolationForestModel
 from tidewarden.training.registry import label_of
 
@@ -21,7 +21,7 @@ def classifier_scorer(model: PipelineModel) -> Scorer:
     def run(df: DataFrame) -> DataFrame:
         scored = model.transform(df)
         return scored.withColumns({
-            "_label": label_of(model), "_confidence": F.array_max(vector_to_array("probability")),
+            "_label": label_of(model), "_confidence": F.array_max(class_probabilities(scored)),
         }).select(*df.columns, "_label", "_confidence")
 
     return run

@@ -20,7 +20,6 @@ def build_session(master: str = "local[8]", app: str = "tidewarden", **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():

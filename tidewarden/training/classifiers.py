@@ -76,21 +76,25 @@ def evaluate(name: str, model: PipelineModel, test: DataFrame) -> DataFrame:
 
 
 def grid_search(
-    train: DataFrame, columns: list[str], estimator, grid: dict[str, list], row_id: str, label: str = "Label", folds: int = 3
-) -> CrossValidatorModel:
-    """Cross-validated accuracy over a grid, with folds fixed by a hash of the row."""
+    train: DataFrame, columns: list[str], estimator, grid: dict[str, list], row_id: str, label: str = "Label", folds: int = 3,
+    parallelism: int = 4,
+) -> tuple[CrossValidatorModel, PipelineModel]:
+    """Cross-validated accuracy over a grid, with folds fixed by a hash of the row, and the best model as a pipeline
+    with its scaling and label stages. ``parallelism`` fits run at a time."""
     checkpointing(train.sparkSession)
     target = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(target.getParam(name), values)
     stages = [scaling_stage(population_moments(train, columns)), vector_stage(columns), label_stage(label)]
-    prepared = Pipeline(stages=stages).fit(train).transform(fold_numbers(train, row_id, folds))
+    preparation = Pipeline(stages=stages).fit(train)
+    prepared = preparation.transform(fold_numbers(train, row_id, folds))
     search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold", seed=SEED,
+        estimator=estimator, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold", seed=SEED, parallelism=parallelism,
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol=LABEL_INDEX),
     )
-    return search.fit(prepared.select("features", LABEL_INDEX, "fold"))
+    found = search.fit(prepared.select("features", LABEL_INDEX, "fold"))
+    return found, PipelineModel(stages=[*preparation.stages, found.bestModel])
 
 
 def search_results(model: CrossValidatorModel) -> list[tuple[str, float]]:

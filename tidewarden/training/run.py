@@ -29,6 +29,7 @@ def train_all(
     forest_grid: dict | None = None,
     boosting_grid: dict | None = None,
     trees: int = 100,
+    version: str = "1",
 ) -> DataFrame:
     """Prepare, train, evaluate, search, save and record; returns (model, metric, value) rows.
 
@@ -62,12 +63,11 @@ def train_all(
         "gradient_boosting_tuned": (c.gradient_boosting(classes, **(boosting or {})), boosting_grid or c.BOOSTING_GRID),
     }
     for name, (estimator, grid) in searches.items():
-        found = c.grid_search(split, columns, estimator, grid, row_id, label)
-        models[name] = found.bestModel
+        found, models[name] = c.grid_search(train, columns, estimator, grid, row_id, label)
         best = spark.createDataFrame([(name, "cv_accuracy", float(max(found.avgMetrics)))], "model string, metric string, value double")
         results = results.unionByName(best)
 
     results = materialize(results)
-    save_models(spark, folder, models, columns)
+    save_models(spark, folder, models, columns, version)
     append_run(results, folder, uuid.uuid4().hex, experiment)
     return results
