@@ -382,7 +382,7 @@ def test_written_shards_have_narrow_boxes(spark, folder, tmp_path):
 def test_ledger_of_odd_rows(odd, empty):
     rows = {(r["doc_id"], r["n_words"]): r for r in quality_rules.ledger(odd).collect()}
     assert rows[5, 6000]["n_repeat_words"] == 6000 and rows[1, 0]["failed"] & 1 and rows[8, 15]["n_dup_lines"] == 2
-    assert rows[8, 15]["n_symbols"] == 15 and rows[7, 6]["word_chars"] == 23
+    assert rows[8, 15]["n_symbols"] == 15 and rows[7, 7]["word_chars"] == 22
     assert quality_rules.ledger(empty).count() == 0 and quality_rules.keep_good(odd).columns == odd.columns
 
 
