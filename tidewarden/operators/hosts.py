@@ -13,7 +13,8 @@ from tidewarden.functions.records import micros, or_default, total_bytes, total_
 from tidewarden.operators.running import running_totals, totals_between
 from tidewarden.session import materialize
 
-HOUR = 3_600_000_000
+MINUTE = 60_000_000
+HOUR = 60 * MINUTE
 DISTINCT = ("unique_dst_ips", "unique_dst_ports")
 RECENT = ("recent_flows", "recent_bytes", "recent_packets")
 
@@ -53,8 +54,12 @@ def host_events(records: DataFrame) -> DataFrame:
 
 
 def slice_for(width: int) -> int:
-    """Slices no narrower than the window, and no narrower than an hour, keep the slice table small."""
-    return max(width, HOUR)
+    """Slices of an hour, narrower for narrow windows down to a minute.
+
+    A sliding sum is the difference of two running totals, so a slice need not hold a whole window; a busy host's
+    day is sorted in many tasks.
+    """
+    return min(max(width, MINUTE), HOUR)
 
 
 def host_context(
@@ -102,7 +107,7 @@ def _newest_only(context: DataFrame, records: DataFrame, probe_id: list[str], sl
     )
 
 
-def distinct_so_far(records: DataFrame, slice_width: int = 24 * HOUR) -> DataFrame:
+def distinct_so_far(records: DataFrame, slice_width: int = HOUR) -> DataFrame:
     """Per record: distinct destination addresses and ports of its host up to its time."""
     at = micros()
     probes = host_records(records).select("src_ip", "record_id", at.alias("since"), at.alias("until"))

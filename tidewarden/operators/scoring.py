@@ -17,7 +17,7 @@ SEQUENCE_THRESHOLD = 0.6
 HIGH_RISK = 0.8
 MEDIUM_RISK = 0.6
 
-DAY = 86_400_000_000
+HOUR = 3_600_000_000
 # Rows of one host that are handled together when its sequences are built.
 SEQUENCE_BLOCK = 4096
 
@@ -148,7 +148,7 @@ def host_sequences(df: DataFrame, length: int, vector: str = "vector", block: in
     shorter than a sequence.
     """
     block = max(block, length)
-    numbered = running_totals(df, ["src_ip"], ["window_at", "window_id"], {"_pos": F.lit(1)}, DAY)
+    numbered = running_totals(df, ["src_ip"], ["window_at", "window_id"], {"_pos": F.lit(1)}, HOUR)
     place = F.floor((F.col("_pos") - 1) / block)
     reaches_on = (F.col("_pos") - 1) % block >= block - (length - 1)
     own = F.struct(place.alias("block"), F.lit(False).alias("copy"))

@@ -1,7 +1,8 @@
 """Keyed state on streams: flow windows, host context and blocks.
 
 Rows wait in state until the watermark has passed them, then are handled in event-time order, so a stream gives
-what the batch operators give on the same rows, however they arrive within the allowed delay.
+what the batch operators give on the same rows, however they arrive within the allowed delay. Host context is the
+exception: it answers each record on arrival.
 """
 
 from __future__ import annotations
@@ -116,14 +117,14 @@ class _WithKey(StatefulProcessor):
 class HostContextProcessor(StatefulProcessor):
     """Distinct destinations so far and totals of the last ``width`` for each record of one host.
 
-    A micro-batch asks the state once per distinct destination. A host that stays silent for ``idle`` of
-    event time is forgotten whole.
+    A micro-batch asks the state once per distinct destination. With ``idle``, a host that stays silent
+    for so much event time is forgotten whole, and its distinct counts begin anew.
     """
 
     COLUMNS = ["at", "record_id", "bytes", "packets", "dst_ip", "dst_port"]
     OUT = ["src_ip", "record_id", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes", "recent_packets"]
 
-    def __init__(self, width: int, idle: int) -> None:
+    def __init__(self, width: int, idle: int | None) -> None:
         self.width, self.idle = width, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -155,10 +156,11 @@ class HostContextProcessor(StatefulProcessor):
                 oldest += 1
             out.append((key[0], record_id, ips, ports, len(recent) - oldest, total_b, total_p))
         self.recent.put(recent[oldest:])
-        if due:
-            self.handle.deleteTimer(due)
-        due = max(due, due_ms(arrived[-1][0] + self.idle))
-        self.handle.registerTimer(due)
+        if self.idle is not None:
+            if due:
+                self.handle.deleteTimer(due)
+            due = max(due, due_ms(arrived[-1][0] + self.idle))
+            self.handle.registerTimer(due)
         self.totals.update((ips, ports, due))
         yield pd.DataFrame(out, columns=self.OUT)
 
@@ -171,8 +173,11 @@ class HostContextProcessor(StatefulProcessor):
         pass
 
 
-def stream_host_context(records: DataFrame, width: int, late: str = "10 minutes", idle_hours: int = 24 * 7) -> DataFrame:
-    """Host context per record as it arrives. A host is forgotten after ``idle_hours`` of silence."""
+def stream_host_context(records: DataFrame, width: int, late: str = "10 minutes", idle_hours: int | None = None) -> DataFrame:
+    """Host context per record as it arrives: a micro-batch is taken in event time, but a record that comes in a
+    later one than newer records counts from there on, unlike in batch. With ``idle_hours``, a host is forgotten after
+    such a silence, which bounds the state but lets its distinct counts begin anew."""
+    idle = None if idle_hours is None else idle_hours * 3_600_000_000
     use_rocksdb(records.sparkSession)
     slim = records.withWatermark("ts", late).filter(or_default("src_ip", "") != "").select(
         "src_ip", "ts", micros().alias("at"), "record_id", total_bytes().alias("bytes"), total_packets().alias("packets"),
@@ -180,7 +185,7 @@ def stream_host_context(records: DataFrame, width: int, late: str = "10 minutes"
     )
     schema = "src_ip string, record_id long, unique_dst_ips long, unique_dst_ports long, recent_flows long, recent_bytes long, recent_packets long"
     return slim.groupBy("src_ip").transformWithStateInPandas(
-        HostContextProcessor(width, idle_hours * 3_600_000_000), schema, "Append", "EventTime"
+        HostContextProcessor(width, idle), schema, "Append", "EventTime"
     )
 
 
