@@ -100,19 +100,28 @@ def _replicas(distinct: DataFrame) -> DataFrame:
         "fp", "_shift",
         F.call_function("shiftright", F.col("fp"), F.col("_shift")).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).alias("_half"),
     )
-    at = sides.withColumn("_syndrome", _syndrome(F.col("_half")))
     side = F.when(F.col("_shift") == 0, F.lit(0)).otherwise(F.lit(1 << CODE_BITS)).cast("long")
-    near = at.select("fp", side.alias("_side"), F.posexplode(_anchors_near(F.col("_half"), F.col("_syndrome"))).alias("_i", "_near"))
-    return near.select(F.col("_near").bitwiseOR(F.col("_side")).alias("anchor"), "fp", (F.col("_i") == 0).alias("home"))
+    return near_anchors(sides.select("fp", side.alias("side"), F.col("_half").alias("half")))
 
 
-def _groups(replicas: DataFrame) -> DataFrame:
-    """Only anchors where two fingerprints meet, with large ones cut into pairs of blocks of bounded size."""
-    met = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.max("home").alias("_any")).filter("_n > 1 and _any")
-    sized = replicas.join(met.select("anchor", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "anchor")
+def near_anchors(sides: DataFrame) -> DataFrame:
+    """(``fp``, ``side``, ``half``) at every anchor within distance 2 of the half; ``side`` sets the bits above it."""
+    at = sides.withColumn("_syndrome", _syndrome(F.col("half")))
+    near = at.select("fp", "side", F.posexplode(_anchors_near(F.col("half"), F.col("_syndrome"))).alias("_i", "_near"))
+    return near.select(F.col("_near").bitwiseOR(F.col("side")).alias("anchor"), "fp", (F.col("_i") == 0).alias("home"))
+
+
+def split_groups(replicas: DataFrame, block: int) -> DataFrame:
+    """Only anchors where two fingerprints meet, with large ones cut into pairs of blocks of bounded size, ``part``.
+
+    Where there is a ``home`` column, one of the members must be at home.
+    """
+    homes = [F.max("home").alias("_any")] if "home" in replicas.columns else [F.lit(True).alias("_any")]
+    met = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), *homes).filter("_n > 1 and _any")
+    sized = replicas.join(met.select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.least(b, own) * F.col("_blocks") + F.greatest(b, own))
-    return sized.select("anchor", "fp", "home", F.explode(pairs).alias("part"))
+    return sized.select(*replicas.columns, F.explode(pairs.cast("array<bigint>")).alias("part"))
 
 
 def spanning_links(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +159,7 @@ def _links(groups: DataFrame, max_bits: int) -> DataFrame:
             yield from joined([np.concatenate(x) for x in zip(kept, arrived)], last=False)
         yield from joined(list(kept), last=True)
 
-    dealt = groups.select("anchor", F.col("part").cast("long").alias("part"), "fp", "home").repartition("anchor", "part")
+    dealt = groups.select("anchor", "part", "fp", "home").repartition("anchor", "part")
     return dealt.sortWithinPartitions("anchor", "part").mapInArrow(compare, "a long, b long")
 
 
@@ -159,7 +168,12 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > MAX_BITS:
         raise ValueError(f"the two halves cover thresholds up to {MAX_BITS} bits")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(_links(_groups(_replicas(distinct)), max_bits))
+    return named_components(prints, distinct, _links(split_groups(_replicas(distinct), BLOCK), max_bits))
+
+
+def named_components(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Add ``component_id`` to (``doc_id``, ``fp``), from the smallest id of each ``fp`` and the links between them."""
+    found = connected_components(links)
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -176,7 +190,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS,
 
 def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the smallest id; of rows that repeat that id, one. Null ids all stay."""
-    found = linked(materialize(fingerprints(docs, shingle, doc_id, text)), max_bits)
+    return first_rows(docs, linked(materialize(fingerprints(docs, shingle, doc_id, text)), max_bits), doc_id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that give their components their names."""
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     rows = packed_rows(docs, id=F.col(doc_id).cast("long"), twin=F.xxhash64(text))
     same_id = Window.partitionBy("id").orderBy("twin")
