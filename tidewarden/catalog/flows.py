@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
-    CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, STATS_SQL, WIDTH, flows, windows_sql, with_sql,
+    APPLICATION_SQL, CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, STATS_SQL, WIDTH, dns_records, flows, http_records, windows_sql,
+    with_sql,
 )
 from tidewarden.functions.records import day_of_week, flow_key, letters, micros, or_default, time_of_day, total_bytes, total_packets
 from tidewarden.functions.text import character_entropy
@@ -269,6 +270,36 @@ def _(spark, sf):
         "window_id", "pos", F.round(F.col("col").cast("double"), 2).alias("entry"))
 
 
+def features_with_logs(spark, sf):
+    return flow_features(flows(spark, sf), WIDTH, CAP, http=http_records(spark, sf), dns=dns_records(spark, sf))
+
+
+@query("p5_application_features", with_sql(APPLICATION_SQL, """
+select window_id, byte_count, recent_flows, requests, responses, not_found, round(uri_length, 6) as uri_length, agents, n_get, n_post, n_put,
+  n_delete, queries, answers, round(nxdomain, 6) as nxdomain, round(domain_length, 6) as domain_length, domains from applied"""))
+def _(spark, sf):
+    """The feature record with HTTP and DNS logs joined to the windows of their connections."""
+    http, dns = (lambda c: F.col(f"http_features.{c}")), (lambda c: F.col(f"dns_features.{c}"))
+    of = lambda c, k: F.coalesce(F.try_element_at(http(c), F.lit(k)), F.lit(0))
+    return features_with_logs(spark, sf).select(
+        "window_id", "byte_count", "recent_flows", http("request_count").alias("requests"), http("response_count").alias("responses"),
+        of("status_codes", "404").alias("not_found"), F.round(http("avg_uri_length"), 6).alias("uri_length"),
+        http("unique_user_agents").alias("agents"), *[of("methods", m).alias(f"n_{m.lower()}") for m in ("GET", "POST", "PUT", "DELETE")],
+        dns("query_count").alias("queries"), dns("response_count").alias("answers"), F.round(dns("nxdomain_ratio"), 6).alias("nxdomain"),
+        F.round(dns("avg_domain_length"), 6).alias("domain_length"), dns("unique_domains").alias("domains"))
+
+
+@query("p6_application_vector", with_sql(APPLICATION_SQL, """,
+vectors as (
+  select window_id, [requests, responses, uri_length, agents, n_get, n_post, n_put, n_delete, queries, answers, nxdomain, domain_length,
+    domains] as v from applied)
+select window_id, cast(unnest(range(23, 36)) as integer) as pos, round(cast(cast(unnest(v) as float) as double), 2) as entry from vectors"""))
+def _(spark, sf):
+    """The vector's application entries (23 to 35), which only windows with such logs fill."""
+    v = feature_vector(features_with_logs(spark, sf)).select("window_id", F.posexplode("vector"))
+    return v.filter("pos >= 23").select("window_id", "pos", F.round(F.col("col").cast("double"), 2).alias("entry"))
+
+
 @query("p7_numeric_guard", with_sql(FLOWS_SQL, """
 select record_id, cast(unnest([0, 2]) as integer) as pos, unnest([round(cast(cast(duration as float) as double), 4), 0.0]) as entry from flows"""))
 def _(spark, sf):

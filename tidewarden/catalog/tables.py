@@ -169,6 +169,55 @@ results as materialized (
   from risks)"""
 
 
+def http_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An HTTP log of two thirds of the connections; some rows name a connection nobody saw."""
+    k = k_of_props()
+    return table(spark, sf_dir, "events").filter(k % 3 != 0).select(
+        F.concat(F.when(k % 11 == 0, "X").otherwise("C"), F.col("event_id").cast("string")).alias("uid"),
+        F.get(F.array(*[F.lit(m) for m in ("GET", "POST", "PUT", "DELETE")]), (k % 4).cast("int")).alias("method"),
+        F.concat(F.lit("/"), "event_type", F.lit("/"), k.cast("string")).alias("uri"),
+        F.when(k % 5 != 0, F.when(k % 7 != 0, 200).otherwise(404)).alias("status"),
+        F.concat(F.lit("agent"), (F.col("user_id") % 5).cast("string")).alias("user_agent"),
+    )
+
+
+def dns_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = k_of_props()
+    return table(spark, sf_dir, "events").filter(k % 4 == 1).select(
+        F.concat(F.lit("C"), F.col("event_id").cast("string")).alias("uid"),
+        F.concat("event_type", (k % 6).cast("string"), F.lit(".example")).alias("query"), F.lit("A").alias("qtype"),
+        F.when(k % 6 != 0, F.when(k % 5 == 0, "NXDOMAIN").otherwise("NOERROR")).alias("rcode"),
+    )
+
+
+# Both logs counted in the windows of their connections.
+APPLICATION_SQL = CONTEXT_SQL + """,
+http_log as (
+  select 'C' || event_id as uid, ['GET', 'POST', 'PUT', 'DELETE'][k % 4 + 1] as method, '/' || event_type || '/' || k as uri,
+    case when k % 5 <> 0 then case when k % 7 <> 0 then 200 else 404 end end as status, user_id % 5 as agent
+  from base where k % 3 <> 0 and k % 11 <> 0),
+dns_log as (
+  select 'C' || event_id as uid, event_type || (k % 6) || '.example' as query,
+    case when k % 6 <> 0 then case when k % 5 = 0 then 'NXDOMAIN' else 'NOERROR' end end as rcode from base where k % 4 = 1),
+http as (
+  select window_id, count(*) as requests, count(status) as responses, avg(length(uri)) as uri_length, count(distinct agent) as agents,
+    count(case when method = 'GET' then 1 end) as n_get, count(case when method = 'POST' then 1 end) as n_post,
+    count(case when method = 'PUT' then 1 end) as n_put, count(case when method = 'DELETE' then 1 end) as n_delete,
+    count(case when status = 404 then 1 end) as not_found
+  from http_log join windowed using (uid) group by 1),
+dns as (
+  select window_id, count(*) as queries, count(rcode) as answers, count(case when rcode = 'NXDOMAIN' then 1 end) / count(*) as nxdomain,
+    avg(length(query)) as domain_length, count(distinct query) as domains
+  from dns_log join windowed using (uid) group by 1),
+applied as materialized (
+  select f.*, coalesce(requests, 0) as requests, coalesce(responses, 0) as responses, coalesce(uri_length, 0) as uri_length,
+    coalesce(agents, 0) as agents, coalesce(n_get, 0) as n_get, coalesce(n_post, 0) as n_post, coalesce(n_put, 0) as n_put,
+    coalesce(n_delete, 0) as n_delete, coalesce(not_found, 0) as not_found, coalesce(queries, 0) as queries,
+    coalesce(answers, 0) as answers, coalesce(nxdomain, 0) as nxdomain, coalesce(domain_length, 0) as domain_length,
+    coalesce(domains, 0) as domains
+  from features f left join http using (window_id) left join dns using (window_id))"""
+
+
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(
         F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")).alias("ip")

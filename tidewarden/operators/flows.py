@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidewarden.functions.records import (
     total_packets,
 )
 from tidewarden.functions.text import text_entropy
+from tidewarden.operators.application import dns_features, http_features
 from tidewarden.operators.anchored import HOT_ROWS, anchored_windows
 from tidewarden.operators.hosts import host_context
 from tidewarden.session import materialize
@@ -79,6 +82,13 @@ def empty_protocol(schema) -> Column:
     ])
 
 
+def protocol_or_empty(df: DataFrame, name: str, schema) -> Column:
+    if name not in df.columns:
+        return empty_protocol(schema)
+    shaped = F.struct(*[F.col(f"{name}.{f.name}").cast(f.dataType).alias(f.name) for f in schema.fields])
+    return F.when(F.col(name).isNotNull(), shaped).otherwise(empty_protocol(schema))
+
+
 def window_statistics(windowed: DataFrame, text: bool = True) -> DataFrame:
     """One row per flow window; all statistics in one aggregation on the window key.
 
@@ -110,20 +120,42 @@ def window_statistics(windowed: DataFrame, text: bool = True) -> DataFrame:
 
 def flow_features(
     records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS,
-    max_history: int | None = None,
+    max_history: int | None = None, http: DataFrame | None = None, dns: DataFrame | None = None,
 ) -> DataFrame:
     """The full feature record of every flow window, keyed by the window, with its host's context.
 
     ``max_history`` (``HOST_HISTORY`` is the customary value) limits what counts as recent; by default nothing does.
 
+    ``http`` and ``dns`` are application logs whose rows name their connection by ``uid``; each counts in the window of
+    its connection, and rows of unknown connections are left out. The windows are written once for them.
+
     The window statistics are written once: the host context reads them twice, and only four columns of them.
     """
-    stats = materialize(window_statistics(flow_windows(records, width, cap, hot_rows)))
+    windowed = flow_windows(records, width, cap, hot_rows)
+    logs = {"http_features": (http, http_features), "dns_features": (dns, dns_features)}
+    if http is not None or dns is not None:
+        windowed = materialize(windowed)
+    stats = materialize(window_statistics(windowed))
     context = host_context(records, stats.filter("src_ip <> ''"), WINDOW_KEY, width, max_history=max_history)
     joined = stats.join(context.drop("src_ip"), WINDOW_KEY, "left")
+    for name, (log, statistics) in logs.items():
+        if log is not None:
+            joined = joined.join(window_application(windowed, log, statistics, name), WINDOW_KEY, "left")
     return feature_record(joined)
 
 
+def window_application(
+    windowed: DataFrame, log: DataFrame, statistics: Callable[[DataFrame, list[str]], DataFrame], name: str
+) -> DataFrame:
+    """Application statistics of each flow window that has any, as one struct: log rows meet records by ``uid``.
+
+    A record that was delivered more than once counts as one connection.
+    """
+    connections = windowed.filter("uid is not null").groupBy("uid").agg(F.min(F.struct(*WINDOW_KEY)).alias("w")).select("uid", "w.*")
+    found = statistics(log.join(connections, "uid"), WINDOW_KEY)
+    return found.select(*WINDOW_KEY, F.struct(*[c for c in found.columns if c not in WINDOW_KEY]).alias(name))
+
+
 def feature_record(df: DataFrame) -> DataFrame:
     """The 26 published columns in order, after the window key; missing values take their defaults."""
     shaped = df.withColumns({
@@ -134,8 +166,7 @@ def feature_record(df: DataFrame) -> DataFrame:
         "dst_port": or_default("dst_port", 0),
         "protocol": or_default("protocol", ""),
         "tcp_flags": flag_map(list(HISTORY_LETTERS)),
-        "http_features": empty_protocol(HTTP_SCHEMA),
-        "dns_features": empty_protocol(DNS_SCHEMA),
+        **{n: protocol_or_empty(df, n, kind) for n, kind in (("http_features", HTTP_SCHEMA), ("dns_features", DNS_SCHEMA))},
         **{n: or_default(n, 0) for n in ("unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes",
                                          "recent_packets")},
     })
