@@ -376,6 +376,25 @@ def _(spark, sf):
                       "duration", F.concat("details.action", F.lit("/"), "details.severity").alias("details"))
 
 
+@query("k10_audit_reports", f"""
+select 'false_positive' as event_type, epoch_us(ts) as ts_us, cast(event_id as varchar) as alert_id, 'analyst' || (user_id % 3) as analyst,
+  cast(props as varchar) as reason, cast(null as varchar) as model_name, cast(null as varchar) as version, cast(null as double) as accuracy from events where event_type = 'error'
+union all select 'model_update', epoch_us(ts), null, null, null, 'model' || (user_id % 2), cast(event_id % 50 as varchar), round(value / 1000, 6)
+from events where event_type = 'signup'""")
+def _(spark, sf):
+    """The audit events that people and training runs cause: false positives and model updates."""
+    e = table(spark, sf, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    label = lambda p, n: F.concat(F.lit(p), (F.col("user_id") % n).cast("string"))
+    reports = e.filter("event_type = 'error'").select(
+        "timestamp", F.col("event_id").cast("string").alias("alert_id"), label("analyst", 3).alias("analyst"), F.col("props").alias("reason"))
+    updates = e.filter("event_type = 'signup'").select(
+        "timestamp", label("model", 2).alias("model_name"), (F.col("event_id") % 50).cast("string").alias("version"),
+        F.create_map(F.lit("accuracy"), F.col("value") / 1000).alias("performance"))
+    log = actions.audit_log(actions.false_positive_audit(reports), actions.model_update_audit(updates))
+    return log.select("event_type", micros("timestamp").alias("ts_us"), "alert_id", "analyst", "reason", "model_name", "version",
+                      F.round(F.try_element_at("performance", F.lit("accuracy")), 6).alias("accuracy"))
+
+
 @query("flagship_decisions", with_sql(RESULTS_SQL, """
 select result_id, src_ip, 'high_risk_attack' as policy_name, severity, round(risk_score, 6) as risk_score from results where prediction = 'attack' and severity = 'high' and risk_score >= 0.8
 union all select result_id, src_ip, 'suspicious_activity', severity, round(risk_score, 6) from results where prediction = 'suspicious' and severity = 'medium' and risk_score >= 0.6

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidewarden.catalog.decisions import decisions, results
-from tidewarden.catalog.flows import r6
+from tidewarden.catalog.decisions import DECISIONS_SQL, decisions, results
+from tidewarden.catalog.flows import r6, stats
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
     DAY, FLOWS_SQL, METRICS_SQL, NOW, READINGS_SQL, SECOND, flows, host_readings, metric_events, table, with_sql,
@@ -162,10 +162,21 @@ def _(spark, sf):
 select coalesce(type, 'unknown') as type, count(*) as events, cast(sum(count(*)) over () as bigint) as total_events
 from metric_events where ts_us > {NOW} - {SUMMARY_SECONDS * SECOND} group by 1""")
 def _(spark, sf):
-    counts = m.summary_counts(metric_events(spark, sf), NOW, SUMMARY_SECONDS)
-    total = counts.agg(F.collect_list(F.struct("type", "events")).alias("all"))
-    summed = F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: acc + x["events"])
-    return total.withColumn("total_events", summed).select("total_events", F.inline("all"))
+    summary = m.metrics_summary(metric_events(spark, sf), host_readings(spark, sf), NOW, SUMMARY_SECONDS)
+    return summary.select("type", "events", "total_events")
+
+
+@query("a22_summary_with_host", f"""with {METRICS_SQL}, {READINGS_SQL.strip()},
+newest as (select * from readings order by ts_us desc, id desc limit 1)
+select coalesce(type, 'unknown') as type, count(*) as events, round(any_value(cpu_percent), 6) as cpu_percent,
+  round(any_value(memory_percent), 6) as memory_percent, round(any_value(disk_usage_percent), 6) as disk_usage_percent, round(any_value(load15), 6) as load15
+from metric_events, (select cpu_percent, memory_percent, disk_usage_percent, load15 from newest) as host
+where ts_us > {NOW} - {SUMMARY_SECONDS * SECOND} group by 1""")
+def _(spark, sf):
+    """The summary with its host part: the newest reading of all."""
+    summary = m.metrics_summary(metric_events(spark, sf), host_readings(spark, sf), NOW, SUMMARY_SECONDS)
+    return summary.select("type", "events", r6("cpu_percent"), r6("memory_percent"), r6("disk_usage_percent"),
+                          F.round(F.get("load_average", F.lit(2)), 6).alias("load15"))
 
 
 @query("e4_custom_metric", f"""with base as (select event_type, avg(value) as v, max(epoch_us(ts)) as ts_us from events group by 1)
@@ -198,3 +209,27 @@ def _(spark, sf):
     parsed = parse_conn_lines(materialize(lines))
     s = m.stage_statistics(good_rows(parsed).withColumn("at", micros()), rejected_rows(parsed), NOW, "at")
     return s.select(F.lit("capture").alias("stage"), "processed", "errors", F.round("uptime_seconds", 3).alias("uptime_seconds"), r6("per_second"))
+
+
+@query("a18_all_stages", with_sql(DECISIONS_SQL + ",\n" + METRICS_SQL.replace("base as", "metric_base as").replace("from base)", "from metric_base)"), f"""
+, written as (
+  select 'features' as stage, first_at as moment, true as good from stats
+  union all select 'scoring', ts_us, true from results
+  union all select 'decisions', ts_us, true from decisions
+  union all select 'metrics', ts_us, type is not null from metric_events),
+totals as (
+  select stage, count(case when good then 1 end) as processed, count(case when not good then 1 end) as errors,
+    ({NOW} - min(case when good then moment end)) / 1e6 as uptime from written group by 1)
+select stage, processed, errors, round(uptime, 3) as uptime_seconds, round(processed / uptime, 6) as per_second from totals"""))
+def _(spark, sf):
+    """The stages after capture; a metric event without a type is an error of its stage. Windows are written once."""
+    windows = materialize(stats(spark, sf))
+    scored, decided = materialize(results(spark, sf)), decisions(spark, sf)
+    events = metric_events(spark, sf).withColumn("at", micros("timestamp"))
+    found = m.stages_statistics({
+        "features": (windows, None, "first_at"),
+        "scoring": (scored.withColumn("at", micros("timestamp")), None, "at"),
+        "decisions": (decided.withColumn("at", micros("timestamp")), None, "at"),
+        "metrics": (events.filter("type is not null"), events.filter("type is null"), "at"),
+    }, NOW)
+    return found.select("stage", "processed", "errors", F.round("uptime_seconds", 3).alias("uptime_seconds"), r6("per_second"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,13 @@ def summary_counts(events: DataFrame, now: int, seconds: int = 300) -> DataFrame
     return events_by_type(events.filter(F.unix_micros("timestamp") > now - seconds * SECOND))
 
 
+def metrics_summary(events: DataFrame, readings: DataFrame, now: int, seconds: int = 300) -> DataFrame:
+    """Events per type of the last ``seconds``, each row with their total and the newest host reading (two one-row sides)."""
+    counts = summary_counts(events, now, seconds)
+    total = counts.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"))
+    return counts.join(F.broadcast(total), how="cross").join(F.broadcast(latest_host(readings)), how="cross")
+
+
 def latest_host(readings: DataFrame) -> DataFrame:
     """The newest host reading in one row, zeros when there is none."""
     zero_load = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
@@ -148,5 +157,19 @@ def stage_statistics(output: DataFrame, rejects: DataFrame, now: int, at: str) -
         F.coalesce(F.sum("ok"), F.lit(0)).alias("processed"), F.coalesce(F.sum("bad"), F.lit(0)).alias("errors"),
         F.coalesce((F.lit(now) - F.min("at")) / F.lit(float(SECOND)), F.lit(0.0)).alias("uptime_seconds"),
     )
+    return _with_rate(totals)
+
+
+def stages_statistics(stages: dict[str, tuple[DataFrame, DataFrame | None, str]], now: int) -> DataFrame:
+    """``stage_statistics`` of several stages, one row each: what a stage wrote, what it rejected, its time column."""
+    rows = []
+    for stage, (output, rejects, at) in stages.items():
+        none = output.sparkSession.createDataFrame([], "nothing int")
+        found = stage_statistics(output, none if rejects is None else rejects, now, at)
+        rows.append(found.withColumn("stage", F.lit(stage)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _with_rate(totals: DataFrame) -> DataFrame:
     rate = F.when(F.col("uptime_seconds") > 0, F.col("processed") / F.col("uptime_seconds")).otherwise(F.lit(0.0))
     return totals.withColumn("per_second", rate)
