@@ -217,10 +217,10 @@ def _(spark, sf):
   union all select 'scoring', ts_us, true from results
   union all select 'decisions', ts_us, true from decisions
   union all select 'metrics', ts_us, type is not null from metric_events),
-totals as (
+stage_totals as (
   select stage, count(case when good then 1 end) as processed, count(case when not good then 1 end) as errors,
     ({NOW} - min(case when good then moment end)) / 1e6 as uptime from written group by 1)
-select stage, processed, errors, round(uptime, 3) as uptime_seconds, round(processed / uptime, 6) as per_second from totals"""))
+select stage, processed, errors, round(uptime, 3) as uptime_seconds, round(processed / uptime, 6) as per_second from stage_totals"""))
 def _(spark, sf):
     """The stages after capture; a metric event without a type is an error of its stage. Windows are written once."""
     windows = materialize(stats(spark, sf))
