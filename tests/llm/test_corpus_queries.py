@@ -193,6 +193,16 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert fuzzy_hash.compare_with_edits(empty).count() == 0
 
 
+def test_more_ranges_than_an_expression_is_deep(docs, monkeypatch):
+    monkeypatch.setattr(fuzzy_hash, "RANGE", 32)  # 40 KB in 1,300 ranges
+    rows = [(i, f"text {i} " + "abcdef"[i % 6] * (i % 30)) for i in range(2000)]
+    got = {r["doc_id"]: r for r in fuzzy_hash.compare_with_edits(docs(rows)).collect()}
+    assert len(got) == 2000
+    for i, t in rows:
+        after, half = rows[(i + 1) % 2000][1], len(t) // 2
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
 # --- mixing
 
 

@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.session import materialize
+
 SPAN = 7
 SMALLEST = 3
 LONGEST = 64
@@ -172,8 +174,8 @@ def _edited(text: str, after: str) -> str:
 def _ranges(slim: DataFrame) -> DataFrame:
     """Each row with the ranges of the order that need it: its own, and the one before if it comes first in its own.
 
-    The bounds are approximate quantiles of the key, so a range is bounded and their number follows the input; only
-    one key for each range travels through the driver.
+    The bounds are approximate quantiles of the key, so a range is bounded and their number follows the input. The first
+    row of each range is kept in a small written table, which is attached by a join, so the plan does not grow with it.
     """
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-total // RANGE))
@@ -181,16 +183,18 @@ def _ranges(slim: DataFrame) -> DataFrame:
     bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
     placed = slim.withColumn("part", own.cast("long"))
-    key = F.struct("doc_id", F.col("twin"))
-    firsts = [(r["part"], r["first"]) for r in placed.groupBy("part").agg(F.min(key).alias("first")).orderBy("part").collect()]
-    before = {part: firsts[i - 1][0] for i, (part, _) in enumerate(firsts)}
-    leads = F.lit(None).cast("long")
-    for part, first in firsts:
-        here = (F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(first["doc_id"]).cast("long")) & (F.col("twin") == first["twin"])
-        leads = F.when(here, F.lit(before[part]).cast("long")).otherwise(leads)
-    at = F.when(leads.isNull(), F.array(F.struct(F.col("part").alias("at"), F.lit(0).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("part").alias("at"), F.lit(0).alias("extra")), F.struct(leads.alias("at"), F.lit(1).alias("extra"))))
-    return placed.select("doc_id", "twin", "text", F.inline(at))
+    # one row for each range: its first key and the range before it, for the first range the last one
+    ahead, everywhere = Window.orderBy("part"), Window.partitionBy()
+    firsts = placed.groupBy("part").agg(F.min(F.struct("doc_id", "twin")).alias("first")).select(
+        F.col("part").alias("_part"), F.col("first.doc_id").alias("_id"), F.col("first.twin").alias("_twin"),
+        F.coalesce(F.lag("part").over(ahead), F.max("part").over(everywhere)).alias("_before"))
+    firsts = materialize(firsts)
+    same = (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin"))
+    led = placed.join(F.broadcast(firsts), same, "left")
+    own_place = F.struct(F.col("part").alias("at"), F.lit(0).alias("extra"))
+    at = F.when(F.col("_before").isNull(), F.array(own_place)).otherwise(
+        F.array(own_place, F.struct(F.col("_before").alias("at"), F.lit(1).alias("extra"))))
+    return led.select("doc_id", "twin", "text", F.inline(at))
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
