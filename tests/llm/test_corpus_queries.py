@@ -215,6 +215,19 @@ def test_raking_meets_all_margins():
         assert np.allclose(got.sum(axis=tuple(i for i in range(3) if i != axis)) / got.sum(), m, atol=1e-6)
 
 
+def test_scarce_values_shrink_the_sample_and_not_the_targets():
+    langs, others = np.array([0.93, 0.02, 0.03, 0.02]), np.array([0.3, 0.7])
+    tokens = 1e6 * langs[None, :, None] * others[:, None, None] * np.full(4, 0.25)
+    margins = [np.array([0.3, 0.7]), np.array([0.58, 0.17, 0.15, 0.1]), np.full(4, 0.25)]
+    got = mixing.raked(tokens, margins, 0.75)
+    assert (got <= tokens * (1 + 1e-9)).all()
+    for axis, m in enumerate(margins):
+        assert np.allclose(got.sum(axis=tuple(i for i in range(3) if i != axis)) / got.sum(), m, atol=1e-5)
+    assert 0.99 * 0.02 / 0.17 < got.sum() / tokens.sum() < 1.01 * 0.02 / 0.17  # no larger sample can have them
+    with pytest.warns(UserWarning, match="no weights can meet"):
+        mixing.raked(np.array([[1.0, 0], [0, 3]]), [np.array([0.5, 0.5]), np.array([0.2, 0.8])], 0.75)
+
+
 def test_mixture_has_the_target_shares(spark, folder):
     rows = mixing.mixture(spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet"), TARGETS, keep=0.6).toPandas()
     expected = rows.n_tokens * rows.probability
@@ -224,6 +237,15 @@ def test_mixture_has_the_target_shares(spark, folder):
     assert abs(rows.selected.mean() - rows.probability.mean()) < 0.05 and rows.probability.between(0, 1).all()
 
 
+def test_registered_mixture_meets_every_target(spark, folder):
+    rows = entry.queries()["op4_mixing"](spark, folder.replace("sf0.001", "sf0.01")).toPandas()
+    for column in (rows.n_tokens * rows.weight, rows.n_tokens * rows.probability):
+        assert abs(column[rows.source == "src0"].sum() / column.sum() - 0.3) < 1e-4
+        for axis in ("lang", "topic"):
+            for value, share in TARGETS[axis].items():
+                assert abs(column[rows[axis] == value].sum() / column.sum() - share / sum(TARGETS[axis].values())) < 1e-4
+
+
 def test_sampling_odd_rows(odd, empty):
     out = mixing.sample(odd, {}, keep=1.0)
     assert out.columns == odd.columns and out.count() == len(ODD) and mixing.sample(empty, TARGETS).count() == 0

@@ -2,7 +2,9 @@
 
 Tokens are summed by (source, language, topic), with every value that has no target of its own in one rest value,
 so the table of cells is bounded by the targets and not by the data. Its weights are raked to each marginal in turn
-until all hold, for ``keep`` of all tokens and never more than a cell holds. A document's probability is the share of
+until all hold, never taking more than a cell holds: the sample is the largest one of up to ``KEEP`` of all tokens whose
+marginals hold. If ``keep`` is given, that share is taken even where a value is too scarce for it; the weights meet the
+targets all the same, and a warning tells by how much the sample misses them. A document's probability is the share of
 its cell that is taken; documents are drawn by a hash of their id and text, so a run can be repeated and needs no shuffle of texts.
 
 The topic of a document is the class of a hashed lexicon (words of eight letters or more, lower case, by hash into
@@ -17,6 +19,8 @@ whatever their names, pass through unchanged.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +34,7 @@ from tidewarden.session import materialize
 TOPICS = 4
 NAMES = np.array([f"t{k}" for k in range(TOPICS)], object)
 LETTERS = 8
-# The share of all tokens that a sample takes.
+# The share of all tokens that a sample takes at most, if none is given.
 KEEP = 0.75
 REST = "*"
 STEP = 4 << 20
@@ -67,46 +71,86 @@ def shares(targets: dict[str, float]) -> dict[str, float]:
     return {**targets, REST: max(left, 0.0)}
 
 
-def raked(tokens: np.ndarray, margins: list[np.ndarray], keep: float, rounds: int = 500, close: float = 1e-9) -> np.ndarray:
-    """Tokens to take from each cell: ``keep`` of all, in the margins' proportions along each axis, never more than
-    there are. Each round scales to one margin after the other and cuts cells off at what they hold; if the margins
-    can't all be met so, the result is what the last round leaves."""
-    weights, goal = tokens * keep, tokens.sum() * keep
-    axes = []
-    for axis, margin in enumerate(margins):
-        others = tuple(i for i in range(tokens.ndim) if i != axis)
-        there = margin * (tokens.sum(axis=others) > 0)
-        axes.append((axis, others, goal * there / there.sum() if there.sum() else there))
-    for _ in range(rounds):
-        worst = 0.0
-        for _, others, wanted in axes:
-            now = weights.sum(axis=others)
-            worst = max(worst, float(np.abs(now - wanted).max()) / max(goal, 1.0))
-            factor = np.divide(wanted, now, out=np.zeros_like(wanted), where=now > 0)
-            weights = np.minimum(weights * np.expand_dims(factor, others), tokens)
+def _fitted(tokens: np.ndarray, axes: list[tuple], share: float, limit: np.ndarray | None, rounds: int, close: float) -> tuple[np.ndarray, float]:
+    """Weights of ``share`` of all tokens raked to each axis in turn, at most ``limit``, and the largest miss of a margin."""
+    weights, goal, worst = tokens * share, tokens.sum() * share, 0.0
+    for _ in range(rounds + 1):
+        sums = [weights.sum(axis=others) for others, _ in axes]
+        worst = max(float(np.abs(now - wanted * goal).max()) / max(goal, 1e-300) for now, (_, wanted) in zip(sums, axes))
         if worst < close:
             break
-    return weights
+        for others, wanted in axes:
+            now = weights.sum(axis=others)
+            factor = np.divide(wanted * goal, now, out=np.zeros_like(wanted), where=now > 0)
+            weights = weights * np.expand_dims(factor, others)
+            if limit is not None:
+                weights = np.minimum(weights, limit)
+    return weights, worst
 
 
-def factors(sums: dict[tuple[str, ...], int], targets: dict[str, dict[str, float]], keep: float) -> dict[tuple[str, ...], tuple[float, float]]:
+def _axes(tokens: np.ndarray, margins: list[np.ndarray]) -> list[tuple]:
+    axes = []
+    for axis, margin in enumerate(margins):
+        others = tuple(i for i in range(tokens.ndim) if i != axis)
+        there = margin * (tokens.sum(axis=others) > 0)
+        axes.append((others, there / there.sum() if there.sum() else there))
+    return axes
+
+
+def raked_pair(
+    tokens: np.ndarray, margins: list[np.ndarray], keep: float, fixed: bool = False, rounds: int = 500, close: float = 1e-9, met: float = 1e-6
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens to take from each cell, and weights, both in the margins' proportions along each axis. Never more is taken
+    than there is: ``keep`` of all, or the largest share below it that meets the margins.
+
+    With ``fixed``, ``keep`` is taken even where the margins can't be met so; the weights meet them all the same. A warning
+    tells by how much the sample misses, also where no weights at all can meet the margins (cells are empty)."""
+    axes = _axes(tokens, margins)
+    if not tokens.sum():
+        return tokens * keep, tokens * keep
+    found, miss = _fitted(tokens, axes, keep, tokens, rounds, close)
+    if miss < met:
+        return found, found
+    free, gap = _fitted(tokens, axes, keep, None, 20 * rounds, close)
+    if fixed or gap >= met:
+        why = f"no sample of {keep:.4g} of all tokens" if gap < met else "no weights"
+        warnings.warn(f"target shares are missed by {max(miss, gap):.4f}: {why} can meet them", stacklevel=2)
+        return found, free
+    low = keep * min(1.0, float((tokens[free > 0] / free[free > 0]).min()))  # at this share the free weights fit
+    high, found = keep, free * (low / keep)
+    for _ in range(20):
+        middle = (low + high) / 2
+        tried, miss = _fitted(tokens, axes, middle, tokens, rounds, close)
+        if miss < met:
+            low, found = middle, tried
+        else:
+            high = middle
+    return found, found
+
+
+def raked(tokens: np.ndarray, margins: list[np.ndarray], keep: float) -> np.ndarray:
+    """The tokens to take from each cell."""
+    return raked_pair(tokens, margins, keep)[0]
+
+
+def factors(sums: dict[tuple[str, ...], int], targets: dict[str, dict[str, float]], keep: float | None) -> dict[tuple[str, ...], tuple[float, float]]:
     """For each cell its weight (share wanted over share there) and its probability (tokens to take over tokens there)."""
     wanted = [shares(targets.get(a, {})) for a in AXES]
     places = [{v: i for i, v in enumerate(w)} for w in wanted]
     tokens = np.zeros([len(w) for w in wanted])
     for cell, n in sums.items():
         tokens[tuple(p[v] for p, v in zip(places, cell))] = n
-    take = raked(tokens, [np.array(list(w.values())) for w in wanted], keep)
-    part = np.divide(take, tokens, out=np.zeros_like(take), where=tokens > 0)
-    total = float(take.sum() / max(tokens.sum(), 1.0))
+    take, weights = raked_pair(tokens, [np.array(list(w.values())) for w in wanted], KEEP if keep is None else keep, keep is not None)
+    part, ratio = (np.divide(x, tokens, out=np.zeros_like(x), where=tokens > 0) for x in (take, weights))
+    total = float(weights.sum() / max(tokens.sum(), 1.0))
     out = {}
     for cell in sums:
-        p = float(part[tuple(q[v] for q, v in zip(places, cell))])
-        out[cell] = (p / total if total else 0.0, p)
+        at = tuple(q[v] for q, v in zip(places, cell))
+        out[cell] = (float(ratio[at]) / total if total else 0.0, min(float(part[at]), 1.0))
     return out
 
 
-def _drawn(measures: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
+def _drawn(measures: DataFrame, targets: dict[str, dict[str, float]], keep: float | None) -> DataFrame:
     """Add ``weight``, ``probability`` and ``selected`` to rows with the axes, ``n_tokens`` and ``draw`` (0 to 1)."""
     cells = [_listed(F.col(a), targets.get(a, {})) for a in AXES]
     keyed = measures.withColumn("cell", F.concat_ws("\x1f", *cells))
@@ -124,7 +168,7 @@ def draw_of(*columns: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def mixture(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the axes, ``n_tokens``, ``weight``, ``probability``, ``selected``."""
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
@@ -133,7 +177,7 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float =
     return _drawn(measures, targets, keep).select("doc_id", *AXES, "n_tokens", "weight", "probability", "selected")
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The drawn rows of ``docs``, with exactly their columns. The texts are measured twice rather than moved."""
     rows = packed_rows(docs, source=F.col("source").cast("string"), lang=F.col("lang").cast("string"),
                        draw=draw_of(doc_id, text), m=measure(text))
