@@ -353,6 +353,25 @@ def test_sister_branches_of_like_rates_merge(spark):
     assert ways == {"/a|b/*", "/c/*"}
 
 
+def test_labelled_pages_do_not_block_the_clean_pages_beside_them(spark):
+    urls = [(k, f"x://blog.example.com/de/{k}") for k in range(4)] + [(10 + k, f"x://blog.example.com/fr/{k}") for k in range(4)]
+    urls += [(20 + k, f"x://many.example.com/{k}") for k in range(60)] + [(100 + k, f"x://many.example.com/de/{k}") for k in range(4)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_templates.judged(df, {"example.com/de/": "block"}).collect()}
+    assert all(got[k]["verdict"] == "block" for k in (*range(4), *range(100, 104)))
+    assert all(got[k]["verdict"] == "allow" for k in (*range(10, 14), *range(20, 80)))
+
+
+def test_a_small_branch_of_a_hot_host_keeps_its_template(spark):
+    rows = [(i, "h", f"/big/{i}", None) for i in range(1000)] + [(2000 + i, "h", f"/de/{i}", 1) for i in range(9)]
+    rows += [(3000 + 10 * k + i, "h", f"/b{k}/{i}", None) for k in range(60) for i in range(6)]
+    rows += [(5000 + i, "h", "/1/2/3/4/5/6/7/8/" + "ab"[i % 2] + f"/{i}", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, host string, path string, label int")
+    ways = {r["page_id"]: r["way"] for r in url_templates.templates(df).collect()}
+    assert ways[2003] == "/de/*" and ways[3000] == "/b0/*" and ways[3590] == "/b59/*"
+    assert ways[5000].endswith("/8/a/*") and ways[5001].endswith("/8/b/*")
+
+
 # --- quality model
 
 

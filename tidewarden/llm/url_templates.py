@@ -1,12 +1,15 @@
 """URL filter by a path-template tree.
 
-Below each host, paths are a tree of segments. Level by level, a segment that few of its node's pages have becomes a
-wildcard; of the others, sister branches whose labelled rates can't be told apart are merged. A page's template is
-its way down that tree. A template is rejected if its labelled purity, smoothed by one page of either kind, is at
-least ``PURITY``; one without labels is left alone. Explicit rules come first and serve as labels here.
+Below each host, paths are a tree of segments. Level by level, a segment that fewer than ``SUPPORT`` pages of its node
+have becomes a wildcard; of the others, sister branches whose labelled rates can't be told apart are merged. Where a node
+has both labelled and unlabelled wildcard segments, those of two pages or more get wildcards of their own (``*ruled``,
+``*free``), so that only one-page segments of both kinds share one. A page's template is its way down that tree. A
+template is rejected if its labelled purity, smoothed by one page of either kind, is at least ``PURITY`` and more than
+``KNOWN`` of its pages are labelled; one without labels is left alone. Explicit rules come first and serve as labels here.
 
 Only counts are compared, never pages: each level is an aggregation by (host, way, segment), which is reduced before
-the shuffle, and a join that adaptive execution may split, so a host with a third of all pages is spread. Each level
+the shuffle, and a join that adaptive execution may split, so a host with a third of all pages is spread. Branches are
+merged in the order of at most ``RATES`` steps of their rates, so a node may have any number of them. Each level
 is written, so lineage stays short. No Python runs on executors.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty path is the template of its
@@ -21,10 +24,14 @@ from pyspark.sql import functions as F
 
 from tidewarden.session import materialize
 
-DEPTH = 8
-# A segment stays if at least so many pages, and so large a share of its node's pages, have it.
+DEPTH = 32
+# A segment stays if at least so many pages have it.
 SUPPORT = 5
-SHARE = 0.02
+# The labelled share of a template's pages above which its purity speaks for the others.
+KNOWN = 0.5
+# Rates are told apart by steps of 1 / RATES; merged branches list their segments up to LISTED of them.
+RATES = 1000
+LISTED = 50
 # Labelled pages from which a branch's rate says something, and the width of its interval in standard errors.
 LABELLED = 5
 WIDTH = 2.0
@@ -59,19 +66,28 @@ def _level(pages: DataFrame, depth: int, last: bool) -> DataFrame:
     counts = deep.groupBy("host", "way", "segment").agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     counts = materialize(counts)
-    nodes = counts.groupBy("host", "way").agg(F.sum("n").alias("total"))
-    kept = counts.filter(F.col("n") >= SUPPORT).join(nodes, ["host", "way"]).filter(F.col("n") >= F.col("total") * SHARE)
-    # at most 1 / SHARE segments of a node are left
+    kept = counts.filter(F.col("n") >= SUPPORT)
     rate = (F.col("bad") + 1) / (F.col("labelled") + 2)
     error = WIDTH * F.sqrt(rate * (1 - rate) / (F.col("labelled") + 2))
-    judged = kept.select("host", "way", "segment", (F.col("labelled") >= LABELLED).alias("known"), rate.alias("rate"),
-                         (rate - error).alias("low"), (rate + error).alias("high"))
-    order = Window.partitionBy("host", "way", "known").orderBy("rate", "segment")
+    known = kept.filter(F.col("labelled") >= LABELLED).select(
+        "host", "way", "segment", F.floor(rate * RATES).alias("step"), (rate - error).alias("low"), (rate + error).alias("high"))
+    steps = known.groupBy("host", "way", "step").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    order = Window.partitionBy("host", "way").orderBy("step")
     before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parted = judged.withColumn("new", F.when(~F.col("known") | before.isNull() | (F.col("low") > before), 1).otherwise(0))
-    grouped = parted.withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("host", "way", "known", "branch")
-    children = grouped.select("host", "way", "segment", F.array_join(F.array_sort(F.collect_list("segment").over(whole)), "|").alias("child"))
+    parted = steps.withColumn("new", F.when(before.isNull() | (F.col("low") > before), 1).otherwise(0))
+    branches = parted.select("host", "way", "step", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("branch"))
+    grouped = materialize(known.select("host", "way", "segment", "step").join(branches, ["host", "way", "step"]).drop("step"))
+    sizes = grouped.groupBy("host", "way", "branch").agg(F.count(F.lit(1)).alias("size"), F.min("segment").alias("least"))
+    listed = grouped.join(sizes.filter(F.col("size") <= LISTED), ["host", "way", "branch"]).groupBy("host", "way", "branch").agg(
+        F.array_join(F.array_sort(F.collect_list("segment")), "|").alias("child"))
+    long = sizes.filter(F.col("size") > LISTED).select("host", "way", "branch", F.concat("least", F.lit("|+"), F.col("size") - 1).alias("child"))
+    merged = grouped.join(listed.unionByName(long), ["host", "way", "branch"]).select("host", "way", "segment", "child")
+    single = kept.filter(F.col("labelled") < LABELLED).select("host", "way", "segment", F.col("segment").alias("child"))
+    rare = counts.filter(F.col("n") < SUPPORT)
+    both = rare.groupBy("host", "way").agg((F.max("labelled") > 0).alias("ruled"), (F.min("labelled") == 0).alias("free")).filter("ruled and free")
+    apart = rare.filter("n > 1").join(both.select("host", "way"), ["host", "way"], "left_semi").select(
+        "host", "way", "segment", F.when(F.col("labelled") > 0, "*ruled").otherwise("*free").alias("child"))
+    children = merged.unionByName(single).unionByName(apart)
     moved = at.join(children, ["host", "way", "segment"], "left")
     child = F.coalesce("child", F.lit("*"))
     return moved.select(*[c for c in pages.columns if c != "way"],
@@ -101,10 +117,12 @@ def judged(pages: DataFrame, rules: dict[str, str], page_id: str = "page_id", ur
     ruled = slim.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path")))
     labelled = ruled.withColumn("label", F.when(F.col("rule").isNotNull(), F.col("rule").isin(*blocked).cast("int") if blocked else F.lit(0)))
     placed = templates(labelled)
-    counts = placed.groupBy("host", "way").agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    purity = counts.select("host", "way", ((F.col("bad") + 1) / (F.col("labelled") + 2)).alias("purity"))
+    counts = placed.groupBy("host", "way").agg(
+        F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    purity = counts.select("host", "way", ((F.col("bad") + 1) / (F.col("labelled") + 2)).alias("purity"),
+                           (F.col("labelled") > F.col("n") * KNOWN).alias("known"))
     out = placed.join(purity, ["host", "way"])
-    own = F.when(F.col("rule").isNull(), F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
+    own = F.when(F.col("rule").isNull(), F.when((F.col("purity") >= PURITY) & F.col("known"), "block").otherwise("allow"))
     verdict = F.coalesce(own, F.when(F.col("label") == 1, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat("host", "way").alias("template"), "purity")
 
