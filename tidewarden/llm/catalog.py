@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import (
-    fuzzy_hash, hilbert, mixing, packing, quality_model, quality_rules, repeats, simhash, token_counts, url_templates,
+    fuzzy_hash, hilbert, mixing, packing, quality_model, quality_rules, repeats, resampling, simhash, token_counts, url_templates,
 )
 
 QUERIES = {}
@@ -124,3 +124,46 @@ def _(spark, sf_dir):
     return rows.select(
         "doc_id", *measures, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes().alias("kept"), "failed"
     )
+
+
+# CRC-32 in SQL: the checksums of all single bytes by eight halvings, and the fold of a text's bytes over them.
+HALVED = "select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from ("
+CRC_TABLE_SQL = f"crc_table as (select list(c order by i) as tab from ({HALVED * 8}select i, i::bigint as c from range(256) r(i){')' * 8}))"
+
+
+def crc_sql(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes, where ``crc_table`` is joined."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({text}))),
+  lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RUN_WORDS_SQL = rf"list_filter(string_split_regex({LOWER_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def runs_sql(table: str, columns: str = "") -> str:
+    return f"""select {columns}array_to_string(ws[i:i + k - 1], ' ') as run
+  from (select {columns}ws, k, unnest(range(1, len(ws) - k + 2)) as i from {table}, range(1, 4) r(k))"""
+
+
+@query("op12_resampling", f"""with {CRC_TABLE_SQL},
+docs as (select doc_id, {RUN_WORDS_SQL} as ws from documents),
+target as (select {RUN_WORDS_SQL} as ws from benchmark),
+runs as ({runs_sql("docs", "doc_id, ")}),
+target_runs as ({runs_sql("target")}),
+known as (select run, {crc_sql("run")} % 10000 as bucket from (select run from runs union select run from target_runs), crc_table),
+held as (select doc_id, bucket from runs join known using (run)),
+s as (select bucket, count(*) as s from held group by 1),
+t as (select bucket, count(*) as t from target_runs join known using (run) group by 1),
+gains as (select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * ((select count(*) from held)::double + 10000)
+  / ((s::double + 1) * ((select count(*) from target_runs)::double + 10000))))::bigint as gain from s left join t using (bucket)),
+weights as (select doc_id, count(*)::bigint as n_features, sum(gain)::bigint as weight from held join gains using (bucket) group by 1),
+scored as (select doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from docs left join weights using (doc_id)),
+placed as (select *, n_words >= 20 as long, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place,
+  count(*) over (partition by n_words >= 20) as n from scored)
+select doc_id, n_features, weight, score, case when long and place <= 5 * n // 100 then place end::bigint as rank from placed""")
+def _(spark, sf_dir):
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")

@@ -65,6 +65,21 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(33))
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a batch of texts in one array, and where each text starts (one place more than texts)."""
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    held = whole.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def texts_from(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts again, of bytes of the same places."""
+    return pa.LargeStringArray.from_buffers(
+        len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """``row`` holds all columns of ``docs``, beside the named ones: no name can clash with a column of the input."""
     return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
