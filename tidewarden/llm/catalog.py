@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import (
-    fuzzy_hash, hilbert, mixing, packing, quality_model, quality_rules, repeats, resampling, simhash, token_counts, url_templates,
+    fuzzy_hash, hilbert, language_id, mixing, packing, quality_model, quality_rules, repeats, resampling, simhash, token_counts,
+    url_templates,
 )
 
 QUERIES = {}
@@ -126,6 +127,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("op11_language_id")
+def _(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 # CRC-32 in SQL: the checksums of all single bytes by eight halvings, and the fold of a text's bytes over them.
 HALVED = "select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from ("
 CRC_TABLE_SQL = f"crc_table as (select list(c order by i) as tab from ({HALVED * 8}select i, i::bigint as c from range(256) r(i){')' * 8}))"
