@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import (
-    fuzzy_hash, hilbert, language_id, mixing, packing, quality_model, quality_rules, repeats, resampling, simhash, token_counts,
-    url_templates,
+    fuzzy_hash, hilbert, language_id, mixing, packing, quality_model, quality_rules, repeats, resampling, simhash, spelling,
+    token_counts, url_templates,
 )
 
 QUERIES = {}
@@ -173,3 +173,24 @@ select doc_id, n_features, weight, score, case when long and place <= 5 * n // 1
 def _(spark, sf_dir):
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_spelling_variants", f"""with recursive {CRC_TABLE_SQL},
+runs as (select doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[a-z\u00C0-\u00FF]+')) as run from documents),
+digests as (select doc_id, run, {crc_sql("(doc_id || ':' || run)")} as h from (select distinct doc_id, run from runs), crc_table),
+counted as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, count(*) as n
+  from runs join digests using (doc_id, run) group by 1),
+words as (select word, n from counted where length(word) >= 5 and n >= 3),
+holes as (select word, k, substr(word, 1, k) || substr(word, k + 2) as rest from words, unnest(range(0, length(word))) u(k)),
+shorter as (select distinct h.word as a, w.word as b from holes h join words w on h.rest = w.word),
+near as (select a.word as a, b.word as b from holes a join holes b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+  union select a, b from shorter union select b, a from shorter),
+ranked as (select a as word, b, w.n as m, count(*) over (partition by a) as n_near, row_number() over (partition by a order by w.n desc, b) as k
+  from near join words w on w.word = b),
+formed as (select word, n, case when m >= 2 * n then b end as form, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * n then m end::bigint as form_n
+  from words left join (from ranked where k = 1) using (word)),
+chain(word, last) as (select word, word from formed union all select c.word, f.form from chain c join formed f on f.word = c.last where f.form is not null)
+select f.word, f.n::bigint as n, f.form, c.last as root, f.n_near, f.form_n from formed f join chain c using (word)
+  where not exists (from formed g where g.word = c.last and g.form is not null)""")
+def _(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
