@@ -23,7 +23,7 @@ def con(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op10_quality_rules", "op12_resampling", "op13_spelling_variants"])
 def test_query_equals_sql(spark, folder, con, name):
     got = entry.queries()[name](spark, folder).toPandas()
     want = con.sql(entry.oracle_sql()[name]).df()
@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, folder, con, name):
 
 def test_every_number_is_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 # --- substring dedup
