@@ -40,6 +40,7 @@ MIN_COUNT = 3
 EDITED = 97
 RATIO = 2
 GROUP = 20_000  # words of one partition that one acceptor holds
+TASK_ROWS = 50_000  # words that one task composes, over all its partitions
 STEP = 4 << 20
 KEPT_WORDS = 400_000  # counted in a task before it hands them on
 LEAD = 0xC3  # first byte of the letters U+00C0 to U+00FF; another byte follows
@@ -260,7 +261,9 @@ def near_words(vocabulary: DataFrame, group: int = GROUP) -> DataFrame:
         if out:
             yield table()
 
-    sorted_rows = dealt.select(*wide, "word", "n", "size", "block").repartition(*wide).sortWithinPartitions(*wide)
+    # A number of tasks by rows: their bytes are few for the work they make.
+    tasks = 1 + 4 * vocabulary.count() // TASK_ROWS
+    sorted_rows = dealt.select(*wide, "word", "n", "size", "block").repartition(tasks, *wide).sortWithinPartitions(*wide)
     found = sorted_rows.mapInArrow(compose, NEAR)
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best_word").alias("word")))
     merged = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
