@@ -2,11 +2,12 @@ import random
 
 import pytest
 from helpers import brute_windows, records
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewarden.operators.anchored import anchored_windows
+from tidewarden.operators.anchored import anchored_starts, anchored_windows
 from tidewarden.operators.flows import flow_windows, window_statistics
-from tidewarden.operators.running import running_totals, totals_between
+from tidewarden.operators.running import running_totals, sliced_totals, totals_between
 
 
 def rows(seed, keys=4, count=400, span=300):
@@ -16,13 +17,26 @@ def rows(seed, keys=4, count=400, span=300):
 
 
 @pytest.mark.parametrize("width,cap", [(10, None), (10, 3), (0, None), (50, 7), (1000, None), (1000, 5)])
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_windows_match_brute_force(spark, width, cap, hot_rows):
+@pytest.mark.parametrize("hot_rows,block_rows", [(10, 1000), (10, 40), (10, 9), (10_000, 1000)])
+def test_windows_match_brute_force(spark, width, cap, hot_rows, block_rows):
+    """Keys as arrays, as one block, as chained blocks, and with windows larger than a block."""
     data = rows(width + (cap or 0))
     df = spark.createDataFrame(data, "key string, at long, id long")
-    got = anchored_windows(df, ["key"], "at", "id", width, cap, hot_rows).collect()
+    want = brute_windows(data, width, cap)
+    got = anchored_windows(df, ["key"], "at", "id", width, cap, hot_rows, block_rows).collect()
     assert len(got) == len(data)
-    assert {r["id"]: (r["window_at"], r["window_id"]) for r in got} == brute_windows(data, width, cap)
+    assert {r["id"]: (r["window_at"], r["window_id"]) for r in got} == want
+    starts = anchored_starts(df, ["key"], "at", "id", width, cap, hot_rows, block_rows)
+    assert starts.columns == df.columns and sorted(r["id"] for r in starts.collect()) == sorted({i for _, i in want.values()})
+
+
+def test_blocks_are_chained_over_groups(spark, monkeypatch):
+    """More blocks than a group holds, at a constant pace, so that no two chains ever meet."""
+    monkeypatch.setattr("tidewarden.operators.chained.GROUP_BLOCKS", 3)
+    data = [("k", i // 2, i) for i in range(500)] + [("l", i * i, 1000 + i) for i in range(120)]
+    df = spark.createDataFrame(data, "key string, at long, id long").repartition(4)
+    got = anchored_windows(df, ["key"], "at", "id", 3, 7, hot_rows=20, block_rows=16).collect()
+    assert {r["id"]: (r["window_at"], r["window_id"]) for r in got} == brute_windows(data, 3, 7)
 
 
 def test_mixed_hot_and_cold_keys(spark):
@@ -92,11 +106,29 @@ def test_totals_between_matches_brute_force(spark):
 def test_null_times_and_keys_are_windowed_alike_on_both_paths(spark):
     rows = [(k, t, i) for i, (k, t) in enumerate([("a", None), ("a", None), ("a", 5), ("a", 40), (None, 3), (None, None), ("b", None), ("b", 100)])]
     df = spark.createDataFrame(rows, "k string, at long, id long")
-    cold, hot = (sorted(anchored_windows(df, ["k"], "at", "id", 10, None, hot_rows=n).collect(), key=lambda r: r["id"]) for n in (1000, 1))
-    assert cold == hot and len(cold) == len(rows) and [r["window_id"] for r in cold] == [0, 0, 0, 3, 5, 5, 6, 7]
+    cold, hot, chained = (sorted(anchored_windows(df, ["k"], "at", "id", 10, None, hot_rows=n, block_rows=m).collect(), key=lambda r: r["id"])
+                          for n, m in ((1000, 1000), (1, 1000), (1, 3)))
+    assert cold == hot == chained and len(cold) == len(rows) and [r["window_id"] for r in cold] == [0, 0, 0, 3, 5, 5, 6, 7]
 
 
 def test_running_totals_keep_rows_without_a_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, at long")
     got = running_totals(df, ["k"], ["at"], {"n": F.lit(1)}, 10).collect()
     assert sorted((str(r["k"]), r["at"], r["n"]) for r in got) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]
+
+
+@pytest.mark.parametrize("moments", [50, 1])
+def test_slices_are_bounded_by_volume(spark, moments):
+    """90 % of the rows are of one key in one minute, or all in one moment of it."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % moments).otherwise(F.col("id") * 100).alias("at"), "id")
+    sliced, cells = sliced_totals(rows.withColumn("v", F.lit(1)), ["key"], ["at", "id"], ["v"], 3600, slice_rows=2000)
+    sizes = sorted(r["count"] for r in sliced.groupBy("_key").count().collect())
+    assert sizes[-1] <= 2000 and sum(sizes) == 40_000
+    assert 18 <= cells.filter("_key.key = 'hot'").count() <= 80
+    assert sorted(r["_n"] for r in cells.collect()) == sizes
+    total = running_totals(rows, ["key"], ["at", "id"], {"n": F.lit(1), "s": F.col("id") % 5}, 3600, slice_rows=2000)
+    plain = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    wrong = total.withColumns({"n1": F.count("*").over(plain), "s1": F.sum(F.col("id") % 5).over(plain)}).filter("n <> n1 or s <> s1")
+    assert wrong.count() == 0 and total.count() == 40_000

@@ -284,8 +284,8 @@ def _(spark, sf):
 
 @query("w5_block_intervals_hot", with_sql(BLOCKS_SQL, "select ip, blocked_at, ended_at, result_id from blocks"))
 def _(spark, sf):
-    """Every episode above five attempts goes the way of hot keys."""
-    return actions.block_intervals(acts(spark, sf), BLOCK_SECONDS, hot_rows=5).select("ip", "blocked_at", "ended_at", "result_id")
+    """Every episode above five attempts goes the way of hot keys, in blocks of ten attempts."""
+    return actions.block_intervals(acts(spark, sf), BLOCK_SECONDS, hot_rows=5, block_rows=10).select("ip", "blocked_at", "ended_at", "result_id")
 
 
 @query("j8_active_blocks", with_sql(BLOCKS_SQL, f"select ip, blocked_at, expires_at, policy_name from blocks where blocked_at <= {AS_OF} and ended_at > {AS_OF}"))

@@ -75,8 +75,8 @@ def _(spark, sf):
 
 @query("w1_flow_windows_hot_keys", with_sql(windows_sql(6 * HOUR, 2), "select record_id, flow_key, window_at, window_id from windowed"))
 def _(spark, sf):
-    """Every key above 20 records goes the way of hot keys."""
-    return flow_windows(flows(spark, sf), 6 * HOUR, 2, hot_rows=20).select("record_id", "flow_key", "window_at", "window_id")
+    """Every key above 20 records goes the way of hot keys, in blocks of 25 records."""
+    return flow_windows(flows(spark, sf), 6 * HOUR, 2, hot_rows=20, block_rows=25).select("record_id", "flow_key", "window_at", "window_id")
 
 
 @query("a1_flow_totals", with_sql(STATS_SQL, "select flow_key, window_id, byte_count, packet_count, record_count from stats"))

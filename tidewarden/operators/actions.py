@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators.anchored import HOT_ROWS, anchored_windows
+from tidewarden.operators.anchored import HOT_ROWS, anchored_starts
+from tidewarden.operators.chained import BLOCK_ROWS
 from tidewarden.operators.policies import BLOCK_SECONDS, ip_list
 from tidewarden.operators.running import running_totals, totals_between
 from tidewarden.session import broadcast_if_small, materialize
@@ -51,12 +52,14 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     )
 
 
-def block_intervals(actions: DataFrame, seconds: int = BLOCK_SECONDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def block_intervals(
+    actions: DataFrame, seconds: int = BLOCK_SECONDS, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Block intervals per source: an attempt blocks only if no block is active then.
 
     A block ends after ``seconds`` (at that moment it no longer holds) or at the next allow. The attempts
-    between two allows form an episode of their own, inside which blocks are anchored windows. The acts are
-    written once, as a slim table, because episodes, hot addresses and allows each read them.
+    between two allows form an episode of their own, inside which blocks are anchored windows, of which only the first
+    attempt is looked for. The acts are written once, as a slim table, because episodes, hot addresses and allows each read them.
     """
     at = F.unix_micros("timestamp")
     acts = materialize(actions.filter(F.col("act").isin("block_ip", "allow")).select(
@@ -65,9 +68,7 @@ def block_intervals(actions: DataFrame, seconds: int = BLOCK_SECONDS, hot_rows:
     ))
     counted = running_totals(acts, ["ip"], ["at", "id"], {"episode": (F.col("act") == "allow").cast("int")}, HOUR)
     attempts = counted.filter("act = 'block_ip'").drop("act")
-    opened = anchored_windows(attempts, ["ip", "episode"], "at", "id", seconds * 1_000_000 - 1, None, hot_rows).filter(
-        "id = window_id"
-    )
+    opened = anchored_starts(attempts, ["ip", "episode"], "at", "id", seconds * 1_000_000 - 1, None, hot_rows, block_rows)
     lifted = counted.filter("act = 'allow'").select(
         "ip", (F.col("episode") - 1).alias("episode"), F.col("at").alias("lifted_at")
     )

@@ -2,9 +2,10 @@
 
 The next window's start depends on the previous one, so the assignment is a chain of jumps per key. Keys of
 ordinary size are cut at gaps longer than the width and folded as short arrays (one shuffle on the key). Keys
-above ``hot_rows`` never meet in one task: every row gets its position and the position it would jump to, and
-the chain is followed from the first row by pointer doubling, which takes log2(windows) joins on
-(key, position) with no skew.
+above ``hot_rows`` never meet in one task: their rows are numbered and cut into blocks, each block is turned into a
+function from where it is entered to where the next one is, and the functions are composed (``chained``). Only if a
+single window may hold more rows than a block, the chain is followed from the first row by pointer doubling, which takes
+log2(windows) joins on (key, position) with no skew.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.operators.chained import BLOCK_ROWS, chained_windows, longest_window
 from tidewarden.operators.running import running_totals
 from tidewarden.session import broadcast_if_small, materialize
 
@@ -27,23 +29,57 @@ def anchored_windows(
     width: int,
     cap: int | None = None,
     hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``window_at`` and ``window_id``: ``at`` and ``row_id`` of the row that opened the row's window.
 
     A row opens a window if the open one is older than ``width`` (strictly) or already holds ``cap`` rows.
     ``row_id`` must be unique; rows are ordered by (``at``, ``row_id``). A missing time counts as 0.
     """
-    timed = df.withColumn("_timed", F.coalesce(F.col(at), F.lit(0)))
-    return _windows(timed, keys, "_timed", row_id, width, cap, hot_rows).drop("_timed")
+    return _windows(df, keys, at, row_id, width, cap, hot_rows, block_rows, False)
 
 
-def _windows(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap: int | None, hot_rows: int) -> DataFrame:
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _fold(df, keys, at, row_id, width, cap)
-    hot = broadcast_if_small(materialize(hot))
-    cold = _fold(df.join(hot, keys, "left_anti"), keys, at, row_id, width, cap)
-    return cold.unionByName(_chase(df.join(hot, keys, "left_semi"), keys, at, row_id, width, cap))
+def anchored_starts(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    row_id: str,
+    width: int,
+    cap: int | None = None,
+    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Only the rows that open a window, unchanged; the others are never placed."""
+    return _windows(df, keys, at, row_id, width, cap, hot_rows, block_rows, True).drop("window_at", "window_id")
+
+
+def _windows(
+    df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap: int | None, hot_rows: int, block_rows: int, starts: bool
+) -> DataFrame:
+    timed = df.withColumn("_timed", F.coalesce(F.col(at), F.lit(0)))
+    busy_keys = timed.withColumn("_of", F.struct(*keys)).groupBy("_of").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = materialize(busy_keys.filter(F.col("_rows") > hot_rows))
+    most = hot.agg(F.max("_rows")).first()[0]
+    if most is None:
+        return _fold(timed, keys, "_timed", row_id, width, cap, starts).drop("_timed")
+    hot = broadcast_if_small(hot.select("_of"))
+    named = timed.withColumn("_of", F.struct(*keys))  # null keys are equal inside the struct
+    cold = _fold(named.join(hot, "_of", "left_anti").drop("_of"), keys, "_timed", row_id, width, cap, starts)
+    busy = _busy(named.join(hot, "_of", "left_semi"), row_id, width, cap, most, block_rows, starts)
+    return cold.unionByName(busy.drop("_of")).drop("_timed")
+
+
+def _busy(df: DataFrame, row_id: str, width: int, cap: int | None, most: int, block_rows: int, starts: bool) -> DataFrame:
+    """Windows of the keys (``_of``) that are never gathered; ``most`` is the rows of the largest."""
+    slim = df.select("_of", "_timed", row_id)
+    several = most > block_rows
+    reach = cap if cap is not None and cap <= block_rows else longest_window(slim, "_timed", width) if several else block_rows
+    if reach > block_rows:
+        placed = _chase(slim, ["_of"], "_timed", row_id, width, cap)
+        placed = placed.filter(F.col(row_id) == F.col("window_id")) if starts else placed
+    else:
+        placed = chained_windows(slim, "_timed", row_id, width, cap, reach, several, starts, block_rows).withColumnRenamed("id", row_id)
+    return df.join(placed.select("_of", row_id, "window_at", "window_id"), ["_of", row_id]).select(*df.columns, "window_at", "window_id")
 
 
 def _opens(acc: Column, row: Column, at: str, width: int, cap: int | None) -> Column:
@@ -73,7 +109,7 @@ def _starts(rows: Column, at: str, width: int, cap: int | None) -> Column:
     return F.when(one_window, F.array(F.lit(0))).otherwise(F.aggregate(rows, first, step, lambda acc: acc["starts"]))
 
 
-def _fold(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap: int | None) -> DataFrame:
+def _fold(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap: int | None, only_starts: bool) -> DataFrame:
     rest = [c for c in df.columns if c not in (*keys, at, row_id)]
     by_key = Window.partitionBy(*keys).orderBy(at, row_id)
     gap = F.col(at) - F.lag(at).over(by_key) > width
@@ -86,6 +122,9 @@ def _fold(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap:
         .withColumn("_starts", _starts(F.col("_rows"), at, width, cap))
     )
     rows, starts = F.col("_rows"), F.col("_starts")
+    if only_starts:
+        opening = grouped.select(*keys, F.inline(F.transform(starts, lambda s: F.get(rows, s))))
+        return opening.select(*df.columns, F.col(at).alias("window_at"), F.col(row_id).alias("window_id"))
     windows = F.transform(
         starts,
         lambda s, i: F.struct(
@@ -133,4 +172,4 @@ def _chase(df: DataFrame, keys: list[str], at: str, row_id: str, width: int, cap
         F.explode(F.sequence("_pos", F.col("_next") - 1)).alias("_pos"),
     )
     placed = nodes.select(*keys, "_pos", row_id).join(opened, [*keys, "_pos"]).drop("_pos")
-    return df.join(placed, [*keys, row_id]).select(*df.columns, "window_at", "window_id")
+    return placed

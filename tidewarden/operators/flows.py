@@ -14,6 +14,7 @@ from tidewarden.functions.records import (
 from tidewarden.functions.text import text_entropy
 from tidewarden.operators.application import dns_features, http_features
 from tidewarden.operators.anchored import HOT_ROWS, anchored_windows
+from tidewarden.operators.chained import BLOCK_ROWS
 from tidewarden.operators.hosts import host_context
 from tidewarden.session import materialize
 from tidewarden.schemas import DNS_SCHEMA, FEATURE_SCHEMA, HTTP_SCHEMA, TEXT_COLUMNS
@@ -27,11 +28,12 @@ WINDOW_KEY = ["flow_key", "window_at", "window_id"]
 
 
 def flow_windows(
-    records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS
+    records: DataFrame, width: int = WINDOW_US, cap: int | None = WINDOW_RECORDS, hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Records with their flow key and the first time and id of their anchored window, in event time."""
     keyed = records.withColumns({"flow_key": flow_key(), "at": micros()})
-    return anchored_windows(keyed, ["flow_key"], "at", "record_id", width, cap, hot_rows)
+    return anchored_windows(keyed, ["flow_key"], "at", "record_id", width, cap, hot_rows, block_rows)
 
 
 def first_of_window(column: str) -> Column:
