@@ -1,5 +1,7 @@
 """Streams in several micro-batches give what the batch operators give."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidewarden.catalog.decisions import BLOCK_SECONDS, acts, blocks
@@ -7,7 +9,9 @@ from tidewarden.catalog.flows import windowed
 from tidewarden.catalog.tables import DAY, flows
 from tidewarden.session import run_dir
 from tidewarden.streaming.runner import drain
-from tidewarden.streaming.state import due_ms, stream_blocks, stream_flow_windows
+from tidewarden.operators.hosts import distinct_so_far, trailing_totals
+from tidewarden.streaming.state import due_ms, stream_blocks, stream_flow_windows, stream_host_context
+from helpers import records
 
 HOUR_US = 3_600_000_000
 
@@ -38,3 +42,58 @@ def test_blocks_in_micro_batches(spark, folder):
     got = {(r["ip"], r["blocked_at"], r["ended_at"]) for r in drain(stream_blocks(stream.drop("us"), BLOCK_SECONDS, "1 hour")).collect()}
     want = {(r["ip"], r["blocked_at"], r["ended_at"]) for r in blocks(spark, folder).collect() if due_ms(r["ended_at"]) <= mark}
     assert got == want and got
+
+
+CONTEXT = ["record_id", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes", "recent_packets"]
+
+
+def streamed(spark, parts):
+    path = run_dir(spark, "parts")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def batch_context(df, width):
+    both = distinct_so_far(df).join(trailing_totals(df, width), ["src_ip", "record_id"])
+    return {tuple(r) for r in both.select(*CONTEXT).collect()}
+
+
+def test_late_records_count_in_event_order(spark):
+    """Each batch brings records from before those of earlier batches, new destinations among them, and equal times."""
+    rows = [{"at": 1e6 + (i * 7919) % 3000, "src_ip": f"h{i % 2}", "dst_ip": f"d{i % 11}" if i % 5 else None, "dst_port": i % 4, "orig_bytes": i} for i in range(400)]
+    rows += [{"at": 1e6 + 1500, "src_ip": "h0", "dst_ip": f"e{i}"} for i in range(5)]
+    df = records(spark, rows)
+    parts = [df.filter(f"record_id % 4 = {k}") for k in range(4)] + [records(spark, [{"at": 9e6, "src_ip": "z"}]).withColumn("record_id", F.lit(-1).cast("long"))]
+    got = drain(stream_host_context(streamed(spark, parts), 100_000_000, "2 hours")).filter("record_id >= 0")
+    assert {tuple(r) for r in got.select(*CONTEXT).collect()} == batch_context(df, 100_000_000)
+
+
+def test_silent_hosts_are_forgotten_on_request(spark):
+    early = records(spark, [{"at": 100.0, "dst_ip": "x"}, {"at": 110.0, "dst_ip": "y"}])
+    between = records(spark, [{"at": 20_000.0, "src_ip": "other"}]).withColumn("record_id", F.lit(10).cast("long"))
+    after = records(spark, [{"at": 40_000.0, "dst_ip": "x"}]).withColumn("record_id", F.lit(20).cast("long"))
+    end = records(spark, [{"at": 90_000.0, "src_ip": "other"}]).withColumn("record_id", F.lit(30).cast("long"))
+    for idle, ips in ((1, 1), (None, 2)):
+        got = {r["record_id"]: r["unique_dst_ips"] for r in drain(stream_host_context(streamed(spark, [early, between, after, end]), 60_000_000, "1 minute", idle)).collect()}
+        assert got[0] == 1 and got[1] == 2 and got[20] == ips
+
+
+def test_a_backlog_of_one_key_is_linear(spark):
+    """100,000 rows of one key in one batch: windows, host context and blocks, in seconds and as in batch."""
+    df = spark.range(100_000).select(
+        F.col("id").alias("record_id"), F.timestamp_micros(F.col("id") * 20_000 + 10**9).alias("ts"), F.lit("a").alias("src_ip"), F.lit(1).alias("src_port"),
+        F.concat(F.lit("d"), F.col("id") % 50).alias("dst_ip"), F.lit(80).alias("dst_port"), F.col("id").alias("orig_bytes"),
+        F.lit(0).cast("long").alias("resp_bytes"), F.lit(1).cast("long").alias("orig_pkts"), F.lit(0).cast("long").alias("resp_pkts"))
+    end = df.limit(1).withColumns({"record_id": F.lit(-1).cast("long"), "ts": F.timestamp_micros(F.lit(10**12))})
+    start = time.time()
+    one_flow = [d.withColumn("dst_ip", F.lit("b")) for d in (df, end)]
+    windows = drain(stream_flow_windows(streamed(spark, one_flow), 60_000_000, 1000, "1 minute")).filter("record_id >= 0")
+    assert windows.count() == 100_000 and windows.filter("window_id <> floor(record_id / 1000) * 1000").isEmpty()
+    context = drain(stream_host_context(streamed(spark, [df, end]), 60_000_000, "1 minute")).filter("record_id >= 0")
+    wrong = context.filter("recent_flows <> least(record_id + 1, 3000) or unique_dst_ips <> least(record_id + 1, 50)")
+    assert context.count() == 100_000 and wrong.isEmpty()
+    acts_of = lambda d: d.select("src_ip", F.col("ts").alias("timestamp"), F.col("record_id").alias("result_id"), F.lit(0).alias("rank"), F.lit(0).alias("step"), F.lit("block_ip").alias("act"), F.lit("p").alias("policy_name"))
+    found = drain(stream_blocks(streamed(spark, [acts_of(df), acts_of(end)]), 300, "1 minute"))
+    assert sorted(r["result_id"] for r in found.filter("result_id >= 0").collect()) == list(range(0, 100_000, 15_000))
+    assert time.time() - start < 120

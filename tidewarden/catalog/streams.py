@@ -6,7 +6,7 @@ from tidewarden.catalog.decisions import BLOCK_SECONDS, BLOCKS_SQL, acts, result
 from tidewarden.catalog.flows import r6
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
-    CAP, CONTEXT_SQL, DAY, FLOWS_SQL, METRICS_SQL, RESULTS_SQL, SECOND, STATS_SQL, WIDTH, flows, metric_events, windows_sql, with_sql,
+    CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, METRICS_SQL, RESULTS_SQL, SECOND, STATS_SQL, WIDTH, flows, metric_events, windows_sql, with_sql,
 )
 from tidewarden.catalog.flows import features
 from tidewarden.functions.records import micros
@@ -115,13 +115,27 @@ def _(spark, sf):
     return drain_per_batch(w, window_statistics).select("flow_key", "window_id", "byte_count", "packet_count", r6("entropy"))
 
 
+def out_of_order(spark, sf, hours=48, parts=5):
+    """Files in order of arrival, one a micro-batch: each record is up to ``hours`` late, so none falls behind a watermark of that delay."""
+    path = run_dir(spark, "late")
+    f = flows(spark, sf)
+    arrival = F.unix_micros("ts") + F.col("record_id") * 37 % hours * HOUR
+    first, last = f.agg(F.min(arrival), F.max(arrival)).first()
+    for k in range(parts):
+        low, high = (first + (last + 1 - first) * (k + d) // parts for d in (0, 1))
+        f.filter((arrival >= low) & (arrival < high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("t2_stream_host_context", with_sql(FLOWS_SQL, f"""
 select f.record_id, f.src_ip, count(distinct g.dst_ip) as unique_dst_ips, count(distinct case when g.dst_port <> 0 then g.dst_port end) as unique_dst_ports,
   count(case when g.ts_us > f.ts_us - {WIDTH} then 1 end) as recent_flows,
   cast(sum(case when g.ts_us > f.ts_us - {WIDTH} then g.orig_bytes + g.resp_bytes else 0 end) as bigint) as recent_bytes
-from flows f join flows g on g.src_ip = f.src_ip and g.ts_us <= f.ts_us group by 1, 2"""))
+from flows f join flows g on g.src_ip = f.src_ip and g.ts_us <= f.ts_us
+where f.ts_us // 1000 + 1 <= (select max(ts_us) from flows) // 1000 - {48 * HOUR // 1000} group by 1, 2"""))
 def _(spark, sf):
-    return drain(stream_host_context(flow_stream(spark, sf), WIDTH, LATE)).select(
+    """Five micro-batches of records that arrive out of order; all that the last watermark has passed, as in batch."""
+    return drain(stream_host_context(out_of_order(spark, sf), WIDTH, "48 hours")).select(
         "record_id", "src_ip", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes")
 
 
