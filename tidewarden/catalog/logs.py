@@ -13,7 +13,7 @@ from tidewarden.schemas import CONN_COLUMNS, EVE_SCHEMA, FEATURE_SCHEMA, RESULT_
 from tidewarden.sinks.keyed import keyed_json
 from tidewarden.session import run_dir
 from tidewarden.sources.conn_log import conn_lines, read_conn_log, read_conn_rejects
-from tidewarden.sources.eve_log import decode_json, good_json, normalise_eve, read_eve_log, rejected_json
+from tidewarden.sources.eve_log import decode_json, event_messages, good_json, normalise_eve, read_eve_log, rejected_json
 from tidewarden.sources.labelled import table_shape, training_table
 from tidewarden.sources.packets import normalise_packets, packet_rows
 from tidewarden.sources.streams import records_of, rejects_of, with_id
@@ -73,11 +73,11 @@ select record_id, ts_us, case when src_port > 1024 then src_ip else '' end as sr
   orig_pkts, resp_pkts, case when src_port > 1024 then src_ip else 'unknown' end as key from flows where record_id % 25 <> 3"""))
 def _(spark, sf):
     """Sensor events decoded, normalised to flow records, with the message key of the raw event."""
-    events = read_eve_log(spark, written(spark, eve_lines(spark, sf))).withColumn("record_id", F.col("flow_id"))
-    keys = events.select("record_id", F.coalesce("src_ip", F.lit("unknown")).alias("key"))
-    n = normalise_eve(events).select("record_id", micros().alias("ts_us"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "service",
-                                     "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")
-    return n.join(keys, "record_id")
+    events = read_eve_log(spark, written(spark, eve_lines(spark, sf))).withColumns(
+        {"record_id": F.col("flow_id"), "key": F.coalesce("src_ip", F.lit("unknown"))})
+    return normalise_eve(events, ("record_id", "key")).select(
+        "record_id", micros().alias("ts_us"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "service",
+        "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "key")
 
 
 @query("s2_eve_rejects", with_sql(FLOWS_SQL, "select count(*) as rejects, 'not JSON' as reject_reason from flows where record_id % 25 = 3"))
@@ -211,6 +211,26 @@ def _(spark, sf):
     return records_of(sent, with_id(FLOW_SCHEMA, "record_id")).select("key", "record_id", "uid", micros().alias("ts_us"), "orig_bytes", "resp_bytes", "history")
 
 
+@query("k1_packet_messages", with_sql(PACKETS_SQL, """
+select src_ip as key, record_id, ts_us, dst_ip, src_port, protocol, packet_size, bits & 2 <> 0 and protocol = 'TCP' as syn from packets"""))
+def _(spark, sf):
+    """Packets as keyed messages, decoded again."""
+    rows = packet_rows(packet_headers(spark, sf))
+    got = keyed_json(rows, "src_ip").select("key", F.from_json("value", rows.schema).alias("p")).select("key", "p.*")
+    syn = F.coalesce(F.try_element_at("flags", F.lit("SYN")), F.lit(False)).alias("syn")
+    return got.select("key", "record_id", micros().alias("ts_us"), "dst_ip", "src_port", "protocol", "packet_size", syn)
+
+
+@query("k1_event_messages", with_sql(FLOWS_SQL, """
+select case when src_port > 1024 then src_ip else 'unknown' end as key, record_id, service as event_type, dst_port as dest_port, orig_bytes as bytes_toserver
+from flows where record_id % 25 <> 3"""))
+def _(spark, sf):
+    """Raw sensor events as keyed messages, decoded again; those without a source have the key ``unknown``."""
+    events = read_eve_log(spark, written(spark, eve_lines(spark, sf)))
+    got = good_json(decode_json(event_messages(events), EVE_SCHEMA))
+    return got.select("key", F.col("flow_id").alias("record_id"), "event_type", "dest_port", F.col("flow.bytes_toserver").alias("bytes_toserver"))
+
+
 @query("k2_feature_messages", with_sql(CONTEXT_SQL, """
 select src_ip as key, window_id, byte_count, round(entropy, 6) as entropy, syn as "SYN", recent_flows, unique_dst_ips from features"""))
 def _(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.catalog.decisions import BLOCK_SECONDS, BLOCKS_SQL, acts, results
 from tidewarden.catalog.flows import r6
+from tidewarden.catalog.logs import eve_lines
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
     CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, METRICS_SQL, RESULTS_SQL, SECOND, STATS_SQL, WIDTH, flows, metric_events, windows_sql, with_sql,
@@ -17,12 +18,14 @@ from tidewarden.operators.policies import decide
 from tidewarden.plans.detection import score_flows
 from tidewarden.schemas import FLOW_SCHEMA, RESULT_SCHEMA
 from tidewarden.session import run_dir
-from tidewarden.sinks.keyed import keyed_json
+from tidewarden.sinks.keyed import keyed_json, stream_keyed_json
 from tidewarden.sources.conn_log import conn_lines
+from tidewarden.sources.log_tail import CHUNK, opened
 from tidewarden.sources.streams import (
     folder_stream, rejects_of, stream_features, stream_flows, stream_metric_events, stream_results, tail_conn_log,
+    tail_event_log,
 )
-from tidewarden.streaming.runner import drain, drain_per_batch
+from tidewarden.streaming.runner import drain, drain_per_batch, start
 from tidewarden.streaming.state import stream_blocks, stream_flow_windows, stream_host_context
 
 LATE = "1 hour"
@@ -90,6 +93,52 @@ def _(spark, sf):
     return drain(tail_conn_log(spark, path)).select("uid", micros().alias("ts_us"), "src_ip", "orig_bytes")
 
 
+def grow_log(spark, whole, live, shares):
+    """Yield each time the files in ``live`` have grown to the next share of the bytes of those in ``whole``; tasks copy the bytes."""
+    def copy_to(share):
+        def copy(batches):
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    source, target = opened(whole), opened(live)
+                    size = int(source[0].get_file_info(f"{source[1]}/{name}").size * share)
+                    with source[0].open_input_file(f"{source[1]}/{name}") as old, target[0].open_output_stream(f"{target[1]}/{name}") as new:
+                        for at in range(0, size, CHUNK):
+                            new.write(old.read(min(CHUNK, size - at)))
+                yield batch
+        return copy
+
+    system, folder = opened(live)
+    system.create_dir(folder)
+    names = spark.read.text(whole).select(F.col("_metadata.file_name").alias("name")).distinct()
+    for share in shares:
+        names.mapInArrow(copy_to(share), "name string").count()
+        yield share
+
+
+def drain_growing(spark, lines, stream_of):
+    """A log that grows in four steps, most of them in the middle of a line; the query is started again after each."""
+    whole, live, out, mark = (run_dir(spark, n) for n in ("whole", "live", "stream", "checkpoint"))
+    lines.select("value").repartition(3).write.text(whole)
+    for _ in grow_log(spark, whole, live, (0.31, 0.32, 0.77, 1.0)):
+        stream = stream_of(live)
+        start(stream, out, mark, {"availableNow": True}).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("s8_growing_conn_log", with_sql(FLOWS_SQL, "select uid, ts_us, src_ip, orig_bytes from flows"))
+def _(spark, sf):
+    """Bytes added to files already read: no line is lost, split or repeated, also over restarts."""
+    got = drain_growing(spark, conn_lines(flows(spark, sf)), lambda live: tail_conn_log(spark, live, late=None, piece=50_000))
+    return got.select("uid", micros().alias("ts_us"), "src_ip", "orig_bytes")
+
+
+@query("s8_growing_event_log", with_sql(FLOWS_SQL, """
+select record_id, case when src_port > 1024 then src_ip else 'unknown' end as key, service as event_type from flows where record_id % 25 <> 3"""))
+def _(spark, sf):
+    got = drain_growing(spark, eve_lines(spark, sf), lambda live: tail_event_log(spark, live, piece=70_000))
+    return got.select(F.col("flow_id").alias("record_id"), F.coalesce("src_ip", F.lit("unknown")).alias("key"), "event_type")
+
+
 @query("t4_resent_rows", with_sql(FLOWS_SQL, "select record_id, src_ip from flows"))
 def _(spark, sf):
     f = flows(spark, sf)
@@ -193,9 +242,12 @@ def _(spark, sf):
 
 @query("k5_aggregated_metrics", RATES_SQL + "select 'metrics' as key, type, cast(sum(events) as bigint) as events from closed group by 2")
 def _(spark, sf):
-    """Closed rate windows as keyed messages, decoded and added up per type."""
+    """Closed rate windows through the keyed sink (every 30 s in operation), decoded and added up per type."""
     rates = rate_stream(spark, sf).select(micros("span.start").alias("start_us"), "type", "events")
-    got = drain(keyed_json(rates, F.lit("metrics"))).select("key", F.from_json("value", rates.schema).alias("r")).select("key", "r.*")
+    out = run_dir(spark, "topic")
+    stream_keyed_json(rates, F.lit("metrics"), run_dir(spark, "checkpoint"), out, {"availableNow": True}).awaitTermination()
+    sent = spark.read.schema("key string, value string").parquet(out)
+    got = sent.select("key", F.from_json("value", rates.schema).alias("r")).select("key", "r.*")
     return got.groupBy("key", "type").agg(F.sum("events").alias("events"))
 
 
@@ -208,8 +260,6 @@ def _(spark, sf):
 @query("t8_restart_from_checkpoint", with_sql(FLOWS_SQL, "select record_id, src_ip from flows"))
 def _(spark, sf):
     """A query stopped after the first part and started again reads only the second part."""
-    from tidewarden.streaming.runner import start
-
     source, out, mark = run_dir(spark, "parts"), run_dir(spark, "stream"), run_dir(spark, "checkpoint")
     f = flows(spark, sf).select("record_id", "src_ip")
     for part in (f.filter("record_id % 2 = 0"), f.filter("record_id % 2 = 1")):

@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from tidewarden.functions.records import or_default
 from tidewarden.schemas import EVE_SCHEMA
+from tidewarden.sinks.keyed import KEY_DEFAULT
 
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx"
+# One to six digits of a second, or none; the offset with or without a colon, or Z.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][xxx][xx][X]"
 
 
 def decode_json(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
@@ -38,9 +40,17 @@ def read_eve_log(spark: SparkSession, path: str) -> DataFrame:
     return good_json(decode_json(lines, EVE_SCHEMA))
 
 
-def normalise_eve(events: DataFrame) -> DataFrame:
-    """Sensor events to flow records: names, text times and sizes mapped, unknown fields at their defaults."""
-    keep = [c for c in ("record_id",) if c in events.columns]
+def event_messages(events: DataFrame) -> DataFrame:
+    """Raw events as keyed messages; an event without a source goes to ``unknown``."""
+    return events.select(F.coalesce("src_ip", F.lit(KEY_DEFAULT)).alias("key"), F.col("raw").alias("value"))
+
+
+def normalise_eve(events: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """Sensor events to flow records: names, text times and sizes mapped, unknown fields at their defaults.
+
+    Columns named in ``keep`` come along, if there.
+    """
+    keep = [c for c in keep if c in events.columns]
     count = lambda name: or_default(f"flow.{name}", 0)
     return events.select(
         *keep,

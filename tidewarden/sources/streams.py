@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewarden.schemas import FEATURE_SCHEMA, FLOW_SCHEMA, METRIC_SCHEMA, RESULT_SCHEMA
+from tidewarden.schemas import EVE_SCHEMA, FEATURE_SCHEMA, FLOW_SCHEMA, METRIC_SCHEMA, RESULT_SCHEMA
 from tidewarden.sources.conn_log import good_rows, parse_conn_lines
 from tidewarden.sources.eve_log import decode_json, good_json
+from tidewarden.sources.log_tail import PIECE, tail_lines
 
 # Topic names.
 TOPICS = {
@@ -71,7 +72,16 @@ def stream_metric_events(lines: DataFrame) -> DataFrame:
     return records_of(lines, with_id(METRIC_SCHEMA, "id"))
 
 
-def tail_conn_log(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
-    """New connection rows of a growing folder, each ``uid`` once even if a sensor writes it again."""
-    rows = good_rows(parse_conn_lines(folder_stream(spark, path)))
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["uid"])
+def tail_conn_log(spark: SparkSession, path: str, late: str | None = "10 minutes", pattern: str = "[!._]*", piece: int = PIECE) -> DataFrame:
+    """Connection rows as lines are added to the logs of a folder.
+
+    Every line is read once. With ``late``, a ``uid`` that the sensor writes again within that delay is left out.
+    """
+    rows = good_rows(parse_conn_lines(tail_lines(spark, path, pattern, piece).select("value")))
+    return rows if late is None else rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["uid"])
+
+
+def tail_event_log(spark: SparkSession, path: str, pattern: str = "[!._]*", piece: int = PIECE) -> DataFrame:
+    """Sensor events as lines are added to the logs of a folder, with the line in ``raw``."""
+    lines = tail_lines(spark, path, pattern, piece).select(F.col("value").alias("raw"), "value")
+    return good_json(decode_json(lines, EVE_SCHEMA))
