@@ -3,11 +3,14 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from tidewarden.operators.serving import decision_scorer
 from tidewarden.session import run_dir
 from tidewarden.training import classifiers as c
 from tidewarden.training import evaluate, prepare, registry
 from tidewarden.training.isolation_forest import IsolationForestModel, fit_isolation_forest
+from tidewarden.training.nested_search import nested_search, settings_text, tree_table
 from tidewarden.training.one_class import fit_one_class
+from tidewarden.training.run import train_all
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +71,42 @@ def test_classifier_is_saved_with_its_scaling_and_loaded_by_name(spark, points):
     assert hits > 0.98
     with pytest.raises(ValueError):
         registry.load_model(spark, folder, "absent")
+
+
+def test_nested_search_scores_prefixes_as_mllib_does(spark):
+    """All points of a grid from one fit for each other axis; the prefixes' predictions are those of smaller models."""
+    rows = [(i, float(i % 7), float(i % 5), float(i % 11), "attack" if (i % 7 >= 3) != (i % 5 >= 2) else "normal") for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, Label string")
+    columns = ["x0", "x1", "x2"]
+    found, best = nested_search(df, columns, c.random_forest(), {"numTrees": [1, 20], "maxDepth": [1, 8], "minInstancesPerNode": [1, 2]}, "id", max_rows=400)
+    scores = {settings_text(s): a for s, a in found}
+    assert len(scores) == 8 and scores["maxDepth=8,minInstancesPerNode=1,numTrees=20"] > 0.95 > 0.8 > scores["maxDepth=1,minInstancesPerNode=1,numTrees=20"]
+    assert c.predict(best, df).filter(registry.label_of(best) != F.col("Label")).count() < 20
+    found, _ = nested_search(df, columns, c.gradient_boosting(2), {"maxIter": [2, 12], "maxDepth": [4]}, "id")
+    assert [s["maxIter"] for s, _ in found] == [2, 12] and found[1][1] > 0.95
+    prepared = c.prepared_by(df, columns).transform(df)
+    for estimator, sizes in ((c.random_forest(numTrees=9, maxDepth=5), [9]), (c.gradient_boosting(2, maxIter=6, maxDepth=3), [6])):
+        model = estimator.fit(prepared)
+        table = tree_table(spark, model, 2 if sizes == [9] else 0)
+        vectors = np.array([r[0].toArray() for r in prepared.select("features").orderBy("id").collect()])
+        theirs = [r[0] for r in model.transform(prepared).orderBy("id").select("prediction").collect()]
+        assert table.predictions(vectors, sizes)[0].tolist() == [int(t) for t in theirs]
+
+
+def test_all_models_of_a_run_are_loaded_by_name_and_score(spark, points):
+    folder = run_dir(spark, "training")
+    small = {"numTrees": 5, "maxDepth": 4}
+    train_all(points.drop("vector"), "id", folder, forest=small, boosting={"maxIter": 3, "maxDepth": 3}, trees=30, search_rows=500,
+              forest_grid={"numTrees": [2, 4], "maxDepth": [3]}, boosting_grid={"maxIter": [2], "maxDepth": [2]})
+    listed = registry.model_table(spark, folder).collect()
+    assert len(listed) == 7 and {r["kind"] for r in listed} == {"prediction", "decision"}
+    for row in listed:
+        model = registry.load_model(spark, folder, row["name"])
+        scored = model.transform(points)
+        assert scored.filter(F.col(row["kind"]).isNull()).isEmpty()
+        if row["kind"] == "decision":
+            again = decision_scorer(model)(points)
+            assert again.columns == [*points.columns, "_anomaly"]
+            outer, inner = (again.filter(f"Label = '{x}'").agg(F.avg("_anomaly")).first()[0] for x in ("odd", "plain"))
+            assert outer > inner
+    assert registry.list_models(spark, folder).filter("load_seconds is null").isEmpty()

@@ -141,9 +141,11 @@ def _(spark, sf):
         r6("anomaly_score"), "sequence_anomaly_score", r6("classification_confidence"), "is_anomaly", "is_attack")
 
 
-@query("m5_processing_delay")
+@query("m5_processing_delay", with_sql(RESULTS_SQL, "select result_id, round((1706745600000000 - ts_us) / 1e6, 3) as processing_time from results"))
 def _(spark, sf):
-    return results(spark, sf).select("result_id", scoring.processing_delay().alias("processing_time"))
+    """Seconds from each window's first record to a given moment."""
+    delay = scoring.processing_delay(now=F.timestamp_seconds(F.lit(1706745600)))
+    return results(spark, sf).select("result_id", F.round(delay, 3).alias("processing_time"))
 
 
 @query("m6_result_counts", with_sql(RESULTS_SQL, """

@@ -104,9 +104,9 @@ def fuse(df: DataFrame) -> DataFrame:
     )
 
 
-def processing_delay(ts: str = "timestamp") -> Column:
-    """Seconds from the event to now."""
-    return (F.unix_micros(F.current_timestamp()) - F.unix_micros(ts)) / F.lit(1e6)
+def processing_delay(ts: str = "timestamp", now: Column | None = None) -> Column:
+    """Seconds from the event to ``now``, the time of the query if none is given."""
+    return (F.unix_micros(F.current_timestamp() if now is None else now) - F.unix_micros(ts)) / F.lit(1e6)
 
 
 def result_counts(results: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidewarden.operators.scoring import Scorer, anomaly_from_decision, host_seq
 from tidewarden.training.classifiers import class_probabilities
 from tidewarden.training.isolation_forest import IsolationForestModel
 from tidewarden.training.registry import label_of
+from tidewarden.training.stages import DECISION
 
 
 def classifier_scorer(model: PipelineModel) -> Scorer:
@@ -27,6 +28,14 @@ def classifier_scorer(model: PipelineModel) -> Scorer:
     return run
 
 
+def decision_scorer(model: PipelineModel) -> Scorer:
+    """Adds ``_anomaly`` from a saved anomaly pipeline, whichever model is in it."""
+    def run(df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("_anomaly", anomaly_from_decision(F.col(DECISION))).select(*df.columns, "_anomaly")
+
+    return run
+
+
 def forest_scorer(model: IsolationForestModel, vector: str = "vector") -> Scorer:
     """Adds ``_anomaly`` from an isolation forest."""
     return lambda df: df.withColumn("_anomaly", anomaly_from_decision(model.decision(F.col(vector))))

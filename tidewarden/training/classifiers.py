@@ -43,11 +43,16 @@ def sampled_boosting(classes: int, **settings):
     return gradient_boosting(classes, **{"subsamplingRate": 0.8, "maxBins": 64, **settings})
 
 
+def prepared_by(train: DataFrame, columns: list[str], label: str = "Label") -> PipelineModel:
+    """The stages before an estimator: scaling, vector and label code, fitted on the training part."""
+    return Pipeline(stages=[scaling_stage(population_moments(train, columns)), vector_stage(columns), label_stage(label)]).fit(train)
+
+
 def fit(train: DataFrame, columns: list[str], estimator, label: str = "Label") -> PipelineModel:
     """Everything is fitted on the training part alone and saved as one model."""
     checkpointing(train.sparkSession)
-    stages = [scaling_stage(population_moments(train, columns)), vector_stage(columns), label_stage(label), estimator]
-    return Pipeline(stages=stages).fit(train)
+    preparation = prepared_by(train, columns, label)
+    return PipelineModel(stages=[*preparation.stages, estimator.fit(preparation.transform(train))])
 
 
 def class_probabilities(scored: DataFrame) -> Column:
@@ -86,8 +91,7 @@ def grid_search(
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(target.getParam(name), values)
-    stages = [scaling_stage(population_moments(train, columns)), vector_stage(columns), label_stage(label)]
-    preparation = Pipeline(stages=stages).fit(train)
+    preparation = prepared_by(train, columns, label)
     prepared = preparation.transform(fold_numbers(train, row_id, folds))
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold", seed=SEED, parallelism=parallelism,

@@ -6,12 +6,13 @@ features of the rows on the wrong side; only those sums travel.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -40,6 +41,17 @@ class OneClassModel:
         """Positive inside the boundary."""
         return self.margin(vector) - F.lit(self.threshold)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row: the boundary is as large as its features, whatever it was fitted on."""
+        parts = {n: getattr(self, n).tolist() for n in ("frequencies", "phases", "weights")}
+        text = json.dumps({**parts, "threshold": self.threshold})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> OneClassModel:
+        parts = json.loads(spark.read.text(path).first()["value"])
+        return OneClassModel(*[np.array(parts[n]) for n in ("frequencies", "phases", "weights")], parts["threshold"])
+
 
 def fourier(rows: np.ndarray, frequencies: np.ndarray, phases: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phases)) * np.cos(rows @ frequencies + phases)

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.training.isolation_forest import IsolationForestModel
+from tidewarden.training.stages import DECISION, DecisionStage
 
 MODEL_SCHEMA = "name string, kind string, version string, path string"
 LOAD_SCHEMA = "name string, version string, at double, seconds double"
@@ -22,20 +22,22 @@ def model_path(folder: str, name: str, version: str) -> str:
     return f"{folder}/models/{name}/{version}"
 
 
-def save_models(spark: SparkSession, folder: str, models: dict, columns: list[str], version: str = "1") -> None:
+def save_models(spark: SparkSession, folder: str, models: dict[str, PipelineModel], columns: list[str], version: str = "1") -> None:
     """Write every model with a row in the model table, and the feature manifest."""
     rows = []
     for name, model in models.items():
         path = model_path(folder, name, version)
-        if isinstance(model, IsolationForestModel):
-            model.save(spark, path)
-        else:
-            model.write().overwrite().save(path)
-        rows.append((name, "forest" if isinstance(model, IsolationForestModel) else "mllib", version, path))
+        model.write().overwrite().save(path)
+        rows.append((name, kind_of(model), version, path))
     spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/model_table")
     manifest(spark, columns, list(models)).coalesce(1).write.mode("overwrite").json(f"{folder}/feature_info")
 
 
+def kind_of(model: PipelineModel) -> str:
+    """What a model's last stage adds: a ``decision`` or a ``prediction``."""
+    return DECISION if isinstance(model.stages[-1], DecisionStage) else "prediction"
+
+
 def manifest(spark: SparkSession, columns: list[str], models: list[str]) -> DataFrame:
     return spark.createDataFrame([(columns, len(columns), models)], MANIFEST_SCHEMA)
 
@@ -56,7 +58,7 @@ def load_model(spark: SparkSession, folder: str, name: str, version: str | None
     if row is None:
         raise ValueError(f"no model {name}" + (f" of version {version}" if version else ""))
     start = time.time()
-    model = IsolationForestModel.load(spark, row["path"]) if row["kind"] == "forest" else PipelineModel.load(row["path"])
+    model = PipelineModel.load(row["path"])
     spent = spark.createDataFrame([(name, row["version"], start, time.time() - start)], LOAD_SCHEMA)
     spent.coalesce(1).write.mode("append").parquet(f"{folder}/model_loads")
     return model

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidewarden.session import materialize
 from tidewarden.sources.labelled import numeric_columns, training_table
 from tidewarden.training import classifiers as c
-from tidewarden.training.isolation_forest import fit_isolation_forest
-from tidewarden.training.one_class import fit_one_class
-from tidewarden.training.prepare import standardize, stratified_split
+from tidewarden.training.nested_search import SEARCH_ROWS, nested_search
+from tidewarden.training.prepare import stratified_split
 from tidewarden.training.registry import append_run, save_models
+from tidewarden.training.stages import DECISION, anomaly_pipelines
 
 EXPERIMENT = "flow-models"
 
@@ -30,10 +30,12 @@ def train_all(
     boosting_grid: dict | None = None,
     trees: int = 100,
     version: str = "1",
+    search_rows: int = SEARCH_ROWS,
 ) -> DataFrame:
     """Prepare, train, evaluate, search, save and record; returns (model, metric, value) rows.
 
-    The defaults are the full-size settings; the arguments override single ones.
+    The defaults are the full-size settings; the arguments override single ones. Searches see at most ``search_rows`` rows;
+    boosting of more than two classes, which is fitted one against the rest, is searched point by point.
     """
     spark = table.sparkSession
     ready = training_table(table, label, keep=(row_id,))
@@ -52,19 +54,22 @@ def train_all(
     for name in list(models)[1:]:
         results = results.unionByName(c.evaluate(name, models[name], test))
 
-    scaled = standardize(train, columns).select(row_id, F.array(*columns).alias("vector"))
-    models["isolation_forest"] = fit_isolation_forest(scaled, row_id, trees=trees)
-    boundary = fit_one_class(scaled, "vector", len(columns))
-    inside = scaled.agg(F.avg((boundary.decision(F.col("vector")) >= 0).cast("double")).alias("value"))
-    results = results.unionByName(inside.select(F.lit("one_class").alias("model"), F.lit("inside_share").alias("metric"), "value"))
+    for name, model in anomaly_pipelines(train, columns, row_id, label, trees).items():
+        models[name] = model
+        inside = model.transform(train).agg(F.avg((F.col(DECISION) >= 0).cast("double")).alias("value"))
+        results = results.unionByName(inside.select(F.lit(name).alias("model"), F.lit("inside_share").alias("metric"), "value"))
 
     searches = {
         "random_forest_tuned": (c.random_forest(**(forest or {})), forest_grid or c.FOREST_GRID),
         "gradient_boosting_tuned": (c.gradient_boosting(classes, **(boosting or {})), boosting_grid or c.BOOSTING_GRID),
     }
     for name, (estimator, grid) in searches.items():
-        found, models[name] = c.grid_search(train, columns, estimator, grid, row_id, label)
-        best = spark.createDataFrame([(name, "cv_accuracy", float(max(found.avgMetrics)))], "model string, metric string, value double")
+        if classes > 2 and name.startswith("gradient"):
+            search, models[name] = c.grid_search(train, columns, estimator, grid, row_id, label)
+            found = c.search_results(search)
+        else:
+            found, models[name] = nested_search(train, columns, estimator, grid, row_id, label, max_rows=search_rows)
+        best = spark.createDataFrame([(name, "cv_accuracy", max(a for _, a in found))], "model string, metric string, value double")
         results = results.unionByName(best)
 
     results = materialize(results)
