@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Three dimensions (source, language, length) are quantised to ``LEVELS`` steps each, so that a step holds about as many
-rows as another; the curve's index of the cell orders the rows, ties by a hash of the id. The order is cut into runs
+rows as another; names are ranked whole, in string order, by the rows that come before them; the curve's index of the cell orders the rows, ties by a hash of the id. The order is cut into runs
 of equal row counts (law ``rows``), so a shard covers a small box of metadata and files can be pruned by several
 dimensions at once.
 
@@ -9,17 +9,17 @@ Ranks are exact without sorting in one place: rows are counted by (cell, part of
 the curve in two small steps, and only then rows are numbered within their part. A cell with a third of all rows has as
 many parts as the row count asks for. Only ids and numbers move, never texts.
 
-Defined cases: null or empty values are the first step of their dimension; a null text has size 1 and checksum 0; null
-ids come first within their part; rows that repeat an id are told apart by size and checksum, and else are alike. With
+Defined cases: null or empty values are the first step of their dimension; a null text has size 1 and checksum 0; rows without an id are
+ordered by the place they were written to; rows that repeat an id are told apart by size and checksum, and else are alike. With
 fewer rows than shards the first shards get one each. Very long texts count whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewarden.session import materialize
+from tidewarden.session import broadcast_if_small, materialize
 
 BITS = 4
 LEVELS = 1 << BITS
@@ -27,6 +27,7 @@ DIMENSIONS = 3
 # Rows of a cell that are numbered together, at the least number of parts.
 PART_ROWS = 100_000
 MIN_PARTS = 64
+ROW_BITS = 33  # of a generated row number: its place in the partition
 
 
 def hilbert_index(point: list[int], bits: int = BITS) -> int:
@@ -68,10 +69,20 @@ def curve(spark) -> DataFrame:
     return spark.createDataFrame(rows, "point int, cell int")
 
 
-def _as_number(value: Column) -> Column:
-    """The first six bytes of a string as a number, in the strings' order; null is 0."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _value_steps(rows: DataFrame, name: str) -> DataFrame:
+    """``name`` and ``step`` of each distinct value: its place among all rows in the values' order, in ``LEVELS`` steps.
+
+    Values are counted first; their running counts come from ranges of values and the ranges' sums.
+    """
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    sorted_ = materialize(counts.repartitionByRange(name).sortWithinPartitions(name).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", ROW_BITS).alias("_part")
+    sums = sorted_.groupBy(part).agg(F.sum("_n").alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sorted_.select(name, "_n", "_at", part).withColumn("_in", inside).join(sums.select("_part", before.alias("_before")), "_part")
+    total = rows.count()
+    return placed.select(name, F.floor((F.col("_before") + F.col("_in")) * LEVELS / F.lit(max(total, 1))).cast("int").alias("step"))
 
 
 def _steps(df: DataFrame, names: list[str]) -> DataFrame:
@@ -88,16 +99,22 @@ def _steps(df: DataFrame, names: list[str]) -> DataFrame:
 def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``cell`` and ``h``, the hash that orders a cell; one scan of the texts."""
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = materialize(docs.select(
+    slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        _as_number(F.col("source")).alias("d0"), _as_number(F.col("lang")).alias("d1"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(d) for c, d in (("source", "d0"), ("lang", "d1"))],
         F.octet_length(body).cast("double").alias("d2"),
-    ))
-    stepped = _steps(slim, ["d0", "d1", "d2"])
+    )
+    slim = materialize(slim.withColumn("row", F.monotonically_increasing_id()))
+    stepped = _steps(slim, ["d2"])
+    for name in ("d0", "d1"):
+        steps = broadcast_if_small(_value_steps(slim.select(name), name))
+        stepped = stepped.join(steps, name).drop(name).withColumnRenamed("step", name)
     point = F.col("d0") + F.col("d1") * LEVELS + F.col("d2") * LEVELS * LEVELS
-    with_point = stepped.withColumn("point", point.cast("int")).withColumn("h", F.xxhash64("doc_id", "text_crc32"))
+    own = F.xxhash64("doc_id", "text_crc32")
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64("row", "text_crc32")).otherwise(own)  # copies without an id are spread
+    with_point = stepped.withColumn("point", point.cast("int")).withColumn("h", h)
     return with_point.join(F.broadcast(curve(docs.sparkSession)), "point").select("doc_id", "size", "text_crc32", "cell", "h")
 
 

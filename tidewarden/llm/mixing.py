@@ -2,8 +2,7 @@
 
 Tokens are summed by (source, language, topic), with every value that has no target of its own in one rest value,
 so the table of cells is bounded by the targets and not by the data. Its weights are raked to each marginal in turn
-until all hold, never taking more than a cell holds: the sample is the largest one of up to ``KEEP`` of all tokens whose
-marginals hold. If ``keep`` is given, that share is taken even where a value is too scarce for it; the weights meet the
+until all hold, never taking more than a cell holds: the sample is the largest one whose marginals hold, up to all tokens. If ``keep`` is given, that share is taken even where a value is too scarce for it; the weights meet the
 targets all the same, and a warning tells by how much the sample misses them. A document's probability is the share of
 its cell that is taken; documents are drawn by a hash of their id and text, so a run can be repeated and needs no shuffle of texts.
 
@@ -34,8 +33,6 @@ from tidewarden.session import materialize
 TOPICS = 4
 NAMES = np.array([f"t{k}" for k in range(TOPICS)], object)
 LETTERS = 8
-# The share of all tokens that a sample takes at most, if none is given.
-KEEP = 0.75
 REST = "*"
 STEP = 4 << 20
 AXES = ("source", "lang", "topic")
@@ -140,7 +137,7 @@ def factors(sums: dict[tuple[str, ...], int], targets: dict[str, dict[str, float
     tokens = np.zeros([len(w) for w in wanted])
     for cell, n in sums.items():
         tokens[tuple(p[v] for p, v in zip(places, cell))] = n
-    take, weights = raked_pair(tokens, [np.array(list(w.values())) for w in wanted], KEEP if keep is None else keep, keep is not None)
+    take, weights = raked_pair(tokens, [np.array(list(w.values())) for w in wanted], 1.0 if keep is None else keep, keep is not None)
     part, ratio = (np.divide(x, tokens, out=np.zeros_like(x), where=tokens > 0) for x in (take, weights))
     total = float(weights.sum() / max(tokens.sum(), 1.0))
     out = {}

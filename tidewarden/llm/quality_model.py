@@ -4,8 +4,9 @@ Every word (a run of letters and digits, or a run of other characters; lower cas
 by hash. A slot has a sparse random index vector; its word vector is the sum of the index vectors of the words up to
 ``REACH`` places away, over all documents. Partial sums are made in the scan, packed, and added in two steps, so the
 table of ``SLOTS x SIZE`` numbers is all that reaches the driver, whatever the corpus. A document's features are mean
-and spread of its unit word vectors. A two-layer network is fitted on at most ``MAX_LABELLED`` labelled documents and
-its temperature on a fifth of them that it does not see.
+and spread of its unit word vectors. A two-layer network is fitted on about ``MAX_LABELLED`` labelled documents at most,
+drawn by hash, and its temperature on a fifth of them that it does not see; where ids or labels repeat, the rows of the
+drawn ones are cut, in hash order, at twice as many.
 
 Labels are read only from rows whose crc32(id as text) modulo 3 is not 1. Language, source and id are no inputs.
 
@@ -202,7 +203,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", d
     total = known.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
     chosen = known.filter(place < F.lit(int((1 << 30) * min(1.0, MAX_LABELLED / max(total, 1)))))
-    rows = table.join(chosen, "doc_id").select("doc_id", "features", "label").limit(2 * MAX_LABELLED).collect()
+    whole = table.join(chosen, "doc_id").select("doc_id", "features", "label")
+    # Ids or labels that repeat may bring more rows than were chosen: then those that come first by hash.
+    rows = whole.orderBy(F.xxhash64("doc_id", "features", "label", F.lit(SEED)), "doc_id", "features", "label").limit(2 * MAX_LABELLED).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"]), r["label"]))  # the order of arrival must not matter
     network = Network(_matrix([bytes(r["features"]) for r in rows]), np.array([r["label"] for r in rows], float))
 
