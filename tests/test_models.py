@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from tidewarden.operators.running import sliced_totals
 from tidewarden.operators.serving import decision_scorer
 from tidewarden.session import run_dir
 from tidewarden.training import classifiers as c
@@ -110,3 +111,17 @@ def test_all_models_of_a_run_are_loaded_by_name_and_score(spark, points):
             outer, inner = (again.filter(f"Label = '{x}'").agg(F.avg("_anomaly")).first()[0] for x in ("odd", "plain"))
             assert outer > inner
     assert registry.list_models(spark, folder).filter("load_seconds is null").isEmpty()
+
+
+def test_scores_crowded_at_one_end_are_spread(spark):
+    """All scores lie in [0.999, 1]; no slice holds more than its target and the area is exact."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k), 0.999 + float(s) / 1000, int(p)) for k, s, p in zip(rng.integers(0, 2, 6000), rng.random(6000), rng.integers(0, 2, 6000))]
+    df = spark.createDataFrame(rows, "class int, score double, positive int")
+    sliced, _ = sliced_totals(df.withColumn("v", F.lit(1)), ["class"], ["score"], ["v"], 1, slice_rows=300)
+    sizes = [r["count"] for r in sliced.groupBy("_key").count().collect()]
+    assert max(sizes) <= 300 and len(sizes) >= 20
+    got = {r["class"]: r["auc"] for r in evaluate.class_auc(df, slice_rows=300).collect()}
+    for k in (0, 1):
+        up, down = (np.array([s for c_, s, p in rows if c_ == k and p == y]) for y in (1, 0))
+        assert got[k] == pytest.approx((up[:, None] > down[None, :]).mean())

@@ -1,5 +1,6 @@
 """Scores, fusion, policies, actions and blocks."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewarden.catalog.flows import features, r6, stats
@@ -14,6 +15,7 @@ from tidewarden.operators.policies import (
     DEFAULT_POLICIES, Policy, add_policies, by_priority, decide, ip_list, mark_lists, policy_table, read_policies,
     remove_policies, update_policies,
 )
+from tidewarden.operators.serving import sequence_scorer
 from tidewarden.plans.detection import decisions_of_events
 
 # An extra rule whose "allow" ends an address's block, so that block intervals have resets.
@@ -114,11 +116,14 @@ def _(spark, sf):
     return s.select(F.col("window_id").alias("result_id"), "c.prediction", F.round("c.confidence", 6).alias("confidence"), "c.is_attack")
 
 
-@query("m3_sequence_score", with_sql(STATS_SQL, """,
+SEQUENCE_SQL = with_sql(STATS_SQL, """,
 seqs as (select window_id, byte_count, sum(byte_count) over w as total, count(*) over w as n from stats
   window w as (partition by src_ip order by window_at, window_id rows 4 preceding)),
 scored as (select window_id, case when n > 1 and total > 0 then least(1.0, byte_count / cast(total as double)) else 0.0 end as s from seqs)
-select window_id, round(s, 6) as sequence_anomaly_score, s > 0.6 as is_sequence_anomaly from scored"""))
+select window_id, round(s, 6) as sequence_anomaly_score, s > 0.6 as is_sequence_anomaly from scored""")
+
+
+@query("m3_sequence_score", SEQUENCE_SQL)
 def _(spark, sf):
     """The last five windows of each host, scored by a plain rule; models plug in the same way."""
     v = feature_vector(window_features(spark, sf))
@@ -127,6 +132,19 @@ def _(spark, sf):
     return r.select("window_id", F.round("s.sequence_anomaly_score", 6).alias("sequence_anomaly_score"), "s.is_sequence_anomaly")
 
 
+@query("m3_sliding_score", SEQUENCE_SQL)
+def _(spark, sf):
+    """The same rule as a function on arrays that slide over a host's blocks."""
+    def rule(block):
+        volume = block[:, :, 2].astype(float)
+        held, total = (np.abs(block).sum(axis=2) > 0).sum(axis=1), volume.sum(axis=1)
+        return np.where((held > 1) & (total > 0), np.minimum(1.0, volume[:, -1] / np.maximum(total, 1e-300)), 0.0)
+
+    v = feature_vector(window_features(spark, sf)).select("window_id", "window_at", "src_ip", "vector")
+    r = sequence_scorer(rule, 5, block=7)(v).select("window_id", scoring.sequence_result("_sequence").alias("s"))
+    return r.select("window_id", F.round("s.sequence_anomaly_score", 6).alias("sequence_anomaly_score"), "s.is_sequence_anomaly")
+
+
 @query("m3_sequence_default", with_sql(STATS_SQL, "select window_id, 0.0 as sequence_anomaly_score, false as is_sequence_anomaly from stats"))
 def _(spark, sf):
     return stats(spark, sf).select("window_id", scoring.sequence_result(None).alias("s")).select(

@@ -112,7 +112,9 @@ def _(spark, sf):
 
 AUC_SQL = """
 with classes as (select unnest(range(4)) as class),
-scores as (select class, round(cast(embedding[class + 1] as double), 2) as score, label = class as positive from embeddings, classes),
+folded as (select label, [list_sum(list_transform(list_filter(embedding, lambda x, i: i % 4 = (c + 1) % 4), lambda x: floor(x::double * 1000)::bigint))::double for c in range(4)] as p
+  from embeddings),
+scores as (select class, p[class + 1] as score, label = class as positive from folded, classes),
 ranked as (select *, rank() over (partition by class order by score) + (count(*) over (partition by class, score) - 1) / 2.0 as r from scores),
 auc as (select class, count(case when positive then 1 end) as positives, count(case when not positive then 1 end) as negatives, sum(case when positive then r else 0 end) as rank_sum
   from ranked group by 1)
@@ -120,8 +122,12 @@ auc as (select class, count(case when positive then 1 end) as positives, count(c
 
 
 def embedding_scores(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.select(F.col("label"), F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 2)).alias("p"))
+    """The score of class k: the sum of thousandths, rounded down, of every fourth entry from the k-th on, over whole embeddings."""
+    def total(k):
+        own = F.filter("embedding", lambda _, i: i % 4 == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + F.floor(x.cast("double") * 1000)).cast("double")
+
+    return table(spark, sf, "embeddings").select(F.col("label"), F.array(*[total(k) for k in range(4)]).alias("p"))
 
 
 @query("a21_class_auc", AUC_SQL + """
@@ -133,7 +139,7 @@ def _(spark, sf):
 
 @query("r7_evaluate_scores", AUC_SQL + """
 select 'given' as model, 'auc' as metric, round(avg((rank_sum - positives * (positives + 1) / 2.0) / (positives * negatives)), 6) as value from auc where positives > 0
-union all select 'given', 'accuracy', round(avg(case when list_position([round(x::double, 2) for x in embedding[1:4]], list_max([round(x::double, 2) for x in embedding[1:4]])) - 1 = label then 1.0 else 0.0 end), 6) from embeddings""")
+union all select 'given', 'accuracy', round(avg(case when list_position(p, list_max(p)) - 1 = label then 1.0 else 0.0 end), 6) from folded""")
 def _(spark, sf):
     """Accuracy and AUC of a fixed score table."""
     from tidewarden.operators.scoring import best_class

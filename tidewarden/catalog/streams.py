@@ -7,7 +7,7 @@ from tidewarden.catalog.flows import r6
 from tidewarden.catalog.logs import eve_lines
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
-    CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, METRICS_SQL, RESULTS_SQL, SECOND, STATS_SQL, WIDTH, flows, metric_events, windows_sql, with_sql,
+    CAP, CONTEXT_SQL, DAY, FLOWS_SQL, HOUR, NOW, METRICS_SQL, RESULTS_SQL, SECOND, STATS_SQL, WIDTH, flows, metric_events, windows_sql, with_sql,
 )
 from tidewarden.catalog.flows import features
 from tidewarden.functions.records import micros
@@ -20,12 +20,14 @@ from tidewarden.schemas import FLOW_SCHEMA, RESULT_SCHEMA
 from tidewarden.session import run_dir
 from tidewarden.sinks.keyed import keyed_json, stream_keyed_json
 from tidewarden.sources.conn_log import conn_lines
+from tidewarden.sources.eve_log import decode_json
 from tidewarden.sources.log_tail import CHUNK, opened
 from tidewarden.sources.streams import (
     folder_stream, rejects_of, stream_features, stream_flows, stream_metric_events, stream_results, tail_conn_log,
-    tail_event_log,
+    tail_event_log, with_id,
 )
 from tidewarden.streaming.runner import drain, drain_per_batch, start
+from tidewarden.streaming.statistics import StatisticsWriter, live_statistics, observed
 from tidewarden.streaming.state import stream_blocks, stream_flow_windows, stream_host_context
 
 LATE = "1 hour"
@@ -282,3 +284,24 @@ def _(spark, sf):
     """A user's function on every micro-batch of records."""
     tag = lambda batch: batch.select("record_id", F.concat_ws("/", "protocol", "service").alias("tag"))
     return drain_per_batch(flow_stream(spark, sf), tag)
+
+
+@query("a18_live_statistics", with_sql(FLOWS_SQL, f"""
+select 'capture' as stage, count(case when record_id % 40 <> 1 then 1 end) as processed, count(case when record_id % 40 = 1 then 1 end) as errors,
+  round(({NOW} - min(case when record_id % 40 <> 1 then ts_us end)) / 1e6, 2) as uptime_seconds,
+  round(count(case when record_id % 40 <> 1 then 1 end) / (({NOW} - min(case when record_id % 40 <> 1 then ts_us end)) / 1e6), 6) as per_second from flows"""))
+def _(spark, sf):
+    """Counts taken while a stream of messages runs in three micro-batches, some messages broken; nothing is read again for them."""
+    path, folder = run_dir(spark, "topic"), run_dir(spark, "statistics")
+    f = flows(spark, sf)
+    f.select(F.when(F.col("record_id") % 40 == 1, "{broken").otherwise(F.to_json(F.struct("*"))).alias("value")).repartition(3).write.text(path)
+    decoded = decode_json(folder_stream(spark, path, 1), with_id(FLOW_SCHEMA, "record_id"))
+    counted = observed(decoded, "capture", micros(), F.col("reject_reason").isNotNull()).filter("reject_reason is null")
+    writer = StatisticsWriter(spark, folder)
+    spark.streams.addListener(writer)
+    try:
+        writer.wait_for(start(counted.drop("value"), run_dir(spark, "stream"), run_dir(spark, "checkpoint"), {"availableNow": True}))
+    finally:
+        spark.streams.removeListener(writer)
+    return live_statistics(spark, folder, NOW).select(
+        "stage", "processed", "errors", F.round("uptime_seconds", 2).alias("uptime_seconds"), r6("per_second"))

@@ -157,7 +157,7 @@ def stage_statistics(output: DataFrame, rejects: DataFrame, now: int, at: str) -
         F.coalesce(F.sum("ok"), F.lit(0)).alias("processed"), F.coalesce(F.sum("bad"), F.lit(0)).alias("errors"),
         F.coalesce((F.lit(now) - F.min("at")) / F.lit(float(SECOND)), F.lit(0.0)).alias("uptime_seconds"),
     )
-    return _with_rate(totals)
+    return with_rate(totals)
 
 
 def stages_statistics(stages: dict[str, tuple[DataFrame, DataFrame | None, str]], now: int) -> DataFrame:
@@ -170,6 +170,7 @@ def stages_statistics(stages: dict[str, tuple[DataFrame, DataFrame | None, str]]
     return reduce(DataFrame.unionByName, rows)
 
 
-def _with_rate(totals: DataFrame) -> DataFrame:
+def with_rate(totals: DataFrame) -> DataFrame:
+    """Rows a second over the uptime."""
     rate = F.when(F.col("uptime_seconds") > 0, F.col("processed") / F.col("uptime_seconds")).otherwise(F.lit(0.0))
     return totals.withColumn("per_second", rate)

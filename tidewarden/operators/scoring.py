@@ -141,7 +141,14 @@ def score(features: DataFrame, scorer: Scorer = traffic_rule) -> DataFrame:
 
 
 def host_sequences(df: DataFrame, length: int, vector: str = "vector", block: int = SEQUENCE_BLOCK) -> DataFrame:
-    """Add each window's own vector and up to ``length - 1`` earlier ones of its host, oldest first.
+    """Add each window's own vector and up to ``length - 1`` earlier ones of its host, oldest first."""
+    placed = sequence_blocks(df, length, block)
+    ordered = Window.partitionBy("src_ip", "_in.block").orderBy("_pos").rowsBetween(1 - length, 0)
+    return placed.withColumn("sequence", F.collect_list(vector).over(ordered)).filter("not _in.copy").drop("_in", "_pos")
+
+
+def sequence_blocks(df: DataFrame, length: int, block: int = SEQUENCE_BLOCK) -> DataFrame:
+    """Rows with their number ``_pos`` in their host's history and ``_in``, the block they are in and whether as a copy.
 
     A host's windows are numbered and cut into blocks of ``block`` rows; the last ``length - 1`` rows of a block
     are copied into the next one, so a busy host is spread over many tasks and no history is lost. A block is never
@@ -153,9 +160,7 @@ def host_sequences(df: DataFrame, length: int, vector: str = "vector", block: in
     reaches_on = (F.col("_pos") - 1) % block >= block - (length - 1)
     own = F.struct(place.alias("block"), F.lit(False).alias("copy"))
     ahead = F.when(reaches_on, F.struct((place + 1).alias("block"), F.lit(True).alias("copy")))
-    placed = numbered.select("*", F.explode(F.array_compact(F.array(own, ahead))).alias("_in"))
-    ordered = Window.partitionBy("src_ip", "_in.block").orderBy("_pos").rowsBetween(1 - length, 0)
-    return placed.withColumn("sequence", F.collect_list(vector).over(ordered)).filter("not _in.copy").drop("_in", "_pos")
+    return numbered.select("*", F.explode(F.array_compact(F.array(own, ahead))).alias("_in"))
 
 
 def mean_shift(sequence: str = "sequence", entry: int = 2) -> Column:

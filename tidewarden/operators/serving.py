@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewarden.operators.scoring import Scorer, anomaly_from_decision, host_sequences
+from tidewarden.operators.scoring import SEQUENCE_BLOCK, Scorer, anomaly_from_decision, sequence_blocks
 from tidewarden.training.classifiers import class_probabilities
 from tidewarden.training.isolation_forest import IsolationForestModel
 from tidewarden.training.registry import label_of
@@ -41,25 +42,27 @@ def forest_scorer(model: IsolationForestModel, vector: str = "vector") -> Scorer
     return lambda df: df.withColumn("_anomaly", anomaly_from_decision(model.decision(F.col(vector))))
 
 
-def sequence_scorer(score: Callable[[np.ndarray], np.ndarray], length: int, vector: str = "vector") -> Scorer:
+def sequence_scorer(score: Callable[[np.ndarray], np.ndarray], length: int, vector: str = "vector", block: int = SEQUENCE_BLOCK) -> Scorer:
     """Adds ``_sequence``: ``score`` maps a batch of shape (rows, length, entries) to one number per row.
 
-    Short histories are padded with zero vectors in front.
+    A block of a host's windows is one array; sequences are views that slide over it, so no vector is copied. Short
+    histories are padded with zero vectors in front.
     """
+    def slide(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("_pos").to_numpy())
+        rows = rows.take(pa.array(order))
+        flat = rows.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        vectors = flat.reshape(len(rows), -1)
+        padded = np.concatenate([np.zeros((length - 1, vectors.shape[1]), np.float32), vectors])
+        views = np.lib.stride_tricks.sliding_window_view(padded, length, axis=0).transpose(0, 2, 1)
+        own = np.flatnonzero(~rows.column("_copy").to_numpy())
+        mine = views[len(rows) - len(own) :]  # copies come first; a block may hold nothing else
+        found = np.asarray(score(mine), dtype=float).reshape(-1) if len(own) else np.zeros(0)
+        return rows.take(pa.array(own)).drop_columns(["_pos", "_block", "_copy"]).append_column("_sequence", pa.array(found))
+
     def run(df: DataFrame) -> DataFrame:
-        @F.pandas_udf("double")
-        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                if batch.empty:
-                    yield pd.Series([], dtype="float64")
-                    continue
-                stacked = [np.stack([np.asarray(v, dtype=np.float32) for v in seq]) for seq in batch]
-                block = np.zeros((len(stacked), length, stacked[0].shape[1]), dtype=np.float32)
-                for i, seq in enumerate(stacked):
-                    block[i, length - len(seq):] = seq
-                yield pd.Series(np.asarray(score(block), dtype=float).reshape(-1))
-
-        return host_sequences(df, length, vector).withColumn("_sequence", apply("sequence")).drop("sequence")
+        placed = sequence_blocks(df, length, block).select(*df.columns, "_pos", F.col("_in.block").alias("_block"), F.col("_in.copy").alias("_copy"))
+        return placed.groupBy("src_ip", "_block").applyInArrow(slide, T.StructType([*df.schema.fields, T.StructField("_sequence", T.DoubleType())]))
 
     return run
 

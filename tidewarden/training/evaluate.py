@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators.running import running_totals
-
-SCORE_STEPS = 2**20
-SCORE_SLICES = 2**10
+from tidewarden.operators.running import SLICE_ROWS, running_totals
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -23,17 +20,16 @@ def class_scores(df: DataFrame, label: str, probabilities: str | Column) -> Data
     )
 
 
-def class_auc(scores: DataFrame) -> DataFrame:
+def class_auc(scores: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact AUC per class; equal scores count half.
 
-    Rows are first counted per score, then ranked by running totals over slices of the score range, so no task
-    sees a whole class.
+    Rows are first counted per score, then ranked by running totals over slices of at most about ``slice_rows`` scores
+    each, wherever the scores lie, so no task sees a whole class.
     """
     per_score = scores.groupBy("class", "score").agg(
         F.sum("positive").alias("pos"), (F.count(F.lit(1)) - F.sum("positive")).alias("neg")
     )
-    stepped = per_score.withColumn("_step", F.floor(F.col("score") * SCORE_STEPS))
-    ranked = running_totals(stepped, ["class"], ["_step", "score"], {"_below": F.col("neg")}, SCORE_STEPS // SCORE_SLICES)
+    ranked = running_totals(per_score, ["class"], ["score"], {"_below": F.col("neg")}, 1, slice_rows)
     wins = F.sum(F.col("pos") * (F.col("_below") - F.col("neg") + F.col("neg") / 2.0))
     return ranked.groupBy("class").agg(
         (wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("positives")
