@@ -8,10 +8,10 @@ too few pages to tell any segment apart, or when its node holds no other path: a
 
 A rate is ``bad + SMOOTH * parent's rate`` over ``labelled + UNLABELLED * others + SMOOTH``: it is smoothed towards the
 parent, and so towards the sister branches, and a page without a label speaks a little for its template. The rate of a
-page's last node is its template's purity. The purity from which a template is rejected is the smallest one at which
-``PRECISION`` of what it rejects is rightly so, by hidden labels: beside the tree of all labels, and in the same rounds, one is grown without a third of the labelled paths,
-drawn by hash, which are only led through it; a page that has no label and would be rejected counts against the limit as
-it counts elsewhere. Explicit rules come first and serve as labels here.
+page's last node is its template's purity. The purity from which a template is rejected is the largest that finds about as
+many hidden labels as any at which ``PRECISION`` of what is rejected is rightly so: beside the tree of all labels, and in the same rounds, one is grown without a third of the labelled paths,
+drawn by hash, which are only led through it; a page that has no label and would be rejected counts against the limit
+like a good one. Explicit rules come first and serve as labels here.
 
 Only counts are compared, never pages: each level is an aggregation by (host, way, segment), reduced before the shuffle;
 nodes and branches with enough pages are few and broadcast after a count, so a host with a third of all paths is
@@ -45,6 +45,8 @@ LISTED = 50
 # Limits of purity to choose from, the precision that one must have, and the limit where none has it.
 LIMITS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 PRECISION = 0.97
+# What a larger limit may find less than the best, so that fewer pages without a label are rejected.
+SLACK = 0.02
 PURITY = 0.8
 HIDDEN = 3  # one labelled path of so many is hidden from the second tree
 HOT_PAGES = 50_000  # pages of one path from which it is joined on its own
@@ -193,10 +195,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def calibrated(counts: DataFrame, ways: DataFrame) -> tuple[float, list[tuple[float, float, float]]]:
-    """The smallest limit of purity with ``PRECISION`` on hidden labels, and (limit, precision, recall) of each."""
+    """The limit of purity chosen by hidden labels, and (limit, precision, recall) of each."""
     shown = F.when(is_hidden() | (F.col("labelled") == 0), F.lit(1))
     held = counts.filter(shown.isNotNull()).select("host", "path", "bad", (
-        F.col("labelled") - F.col("bad") + F.when(F.col("labelled") == 0, F.col("n") * UNLABELLED).otherwise(0)).alias("good"))
+        F.when(F.col("labelled") == 0, F.col("n")).otherwise(F.col("labelled") - F.col("bad"))).alias("good"))
     told = ways.filter(F.col("tree") == BLIND).join(held, ["host", "path"])
     over = [F.sum(F.when(F.col("purity") >= limit, F.col(x))).alias(f"{x}_{k}") for x in ("bad", "good") for k, limit in enumerate(LIMITS)]
     row = told.agg(F.sum("bad").alias("bad"), *over).first()
@@ -204,9 +206,11 @@ def calibrated(counts: DataFrame, ways: DataFrame) -> tuple[float, list[tuple[fl
         return PURITY, []
     figures = []
     for k, limit in enumerate(LIMITS):
-        caught, wrong = row[f"bad_{k}"] or 0, row[f"good_{k}"] or 0.0
+        caught, wrong = row[f"bad_{k}"] or 0, row[f"good_{k}"] or 0
         figures.append((limit, caught / max(caught + wrong, 1), caught / row["bad"]))
-    return min((limit for limit, precision, recall in figures if precision >= PRECISION and recall > 0), default=PURITY), figures
+    sound = {limit: recall for limit, precision, recall in figures if precision >= PRECISION and recall > 0}
+    best = max(sound.values(), default=0.0)
+    return max((limit for limit, recall in sound.items() if recall >= best - SLACK), default=PURITY), figures
 
 
 def judged(pages: DataFrame, rules: dict[str, str], page_id: str = "page_id", url: str = "url", limit: float | None = None) -> DataFrame:
