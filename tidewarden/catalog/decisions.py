@@ -17,6 +17,7 @@ from tidewarden.operators.policies import (
 )
 from tidewarden.operators.serving import sequence_scorer
 from tidewarden.plans.detection import decisions_of_events
+from tidewarden.session import materialize
 
 # An extra rule whose "allow" ends an address's block, so that block intervals have resets.
 TRUSTED = Policy("trusted_service", "Allow quiet traffic to the file server",
@@ -291,8 +292,9 @@ def _(spark, sf):
 @query("j7_new_blocks", with_sql(BLOCKS_SQL, """
 select (select count(*) from attempts) as attempts, count(*) as opened, (select count(*) from attempts) - count(*) as already_blocked from blocks"""))
 def _(spark, sf):
-    a = acts(spark, sf).filter("act = 'block_ip'").select(F.lit(1).alias("attempt"), F.lit(0).alias("block"))
-    b = blocks(spark, sf).select(F.lit(0).alias("attempt"), F.lit(1).alias("block"))
+    done = materialize(acts(spark, sf))  # read for the attempts and for the blocks
+    a = done.filter("act = 'block_ip'").select(F.lit(1).alias("attempt"), F.lit(0).alias("block"))
+    b = actions.block_intervals(done, BLOCK_SECONDS).select(F.lit(0).alias("attempt"), F.lit(1).alias("block"))
     return a.unionByName(b).agg(F.sum("attempt").alias("attempts"), F.sum("block").alias("opened")).withColumn(
         "already_blocked", F.col("attempts") - F.col("opened"))
 
@@ -330,7 +332,7 @@ def _(spark, sf):
 @query("u3_key_removal", with_sql(BLOCKS_SQL, f"""
 select ip, result_id from blocks where ip not in (select ip from blocks where blocked_at <= {AS_OF} and ended_at > {AS_OF})"""))
 def _(spark, sf):
-    b = blocks(spark, sf)
+    b = materialize(blocks(spark, sf))
     return actions.remove_keys(b, actions.active_blocks(b, AS_OF), "ip").select("ip", "result_id")
 
 
