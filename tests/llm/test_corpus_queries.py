@@ -164,6 +164,40 @@ def plain_likeness(x, y):
     return best
 
 
+def plain_fingerprint(data):
+    """Byte by byte: a rolling hash of seven bytes cuts, a polynomial of a piece's bytes names its character."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rolled = []
+    for i in range(len(data)):
+        total = 0
+        for j in range(i - 6, i + 1):
+            total = (total * 0x01000193 + (data[j] if j >= 0 else 0) + 1) % 2**32
+        total = (total ^ total >> 15) * 0x2C1B3C6D % 2**32
+        rolled.append(total ^ total >> 12)
+
+    def signature(size):
+        out, start = "", 0
+        for i in range(len(data)):
+            last = i == len(data) - 1
+            if last or (rolled[i] % size == size - 1 and len(out) < 63):
+                value = sum((b + 1) * pow(0x5851F42D4C957F2D, k, 2**64) for k, b in enumerate(data[start : i + 1])) % 2**64
+                value = (value ^ value >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+                out, start = out + letters[value >> 58], i + 1
+        return out
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and sum(r % size == size - 1 for r in rolled) + 1 < 32:
+        size //= 2
+    return f"{size}:{signature(size)}:{signature(2 * size)}"
+
+
+def test_fingerprints_equal_a_plain_version(texts):
+    bodies = [t.encode() for _, t in texts if len(t) < 3000][:60] + [b"", b"a", b"same " * 400, bytes(range(256)) * 5, b"x" * 1000]
+    assert [fuzzy_hash.fingerprint(b) for b in bodies] == [plain_fingerprint(b) for b in bodies]
+
+
 def test_edits_and_likeness(spark, folder, texts):
     got = {r["doc_id"]: r for r in entry.queries()["op2_fuzzy_hash"](spark, folder).collect()}
     assert len(got) == len(texts)
@@ -193,14 +227,36 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert fuzzy_hash.compare_with_edits(empty).count() == 0
 
 
+def edits_of(rows):
+    """The checksums of all edited texts of (id, text), in the order of (id, text hash), null ids first."""
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).view(np.int64)))
+    out = []
+    for k, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        out.append((i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def edits_got(found):
+    return sorted(((r["doc_id"], r["edited_sha256"]) for r in found.collect()), key=str)
+
+
 def test_more_ranges_than_an_expression_is_deep(docs, monkeypatch):
     monkeypatch.setattr(fuzzy_hash, "RANGE", 32)  # 40 KB in 1,300 ranges
     rows = [(i, f"text {i} " + "abcdef"[i % 6] * (i % 30)) for i in range(2000)]
-    got = {r["doc_id"]: r for r in fuzzy_hash.compare_with_edits(docs(rows)).collect()}
-    assert len(got) == 2000
-    for i, t in rows:
-        after, half = rows[(i + 1) % 2000][1], len(t) // 2
-        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    assert edits_got(fuzzy_hash.compare_with_edits(docs(rows))) == edits_of(rows)
+
+
+def test_copies_without_an_id_are_dealt_over_ranges(docs):
+    rows = [(None if i % 3 else i, "the same text" if i % 2 else f"text {i % 50} of some") for i in range(3000)] + [(7, "again")] * 500
+    assert edits_got(fuzzy_hash.compare_with_edits(docs(rows))) == edits_of(rows)
+    sizes = [r["count"] for r in fuzzy_hash._ranges(docs(rows), "doc_id", "text").groupBy("part").count().collect()]
+    assert sum(sizes) == 3500 and max(sizes) < 3 * 3500 / fuzzy_hash.MIN_RANGES
+
+
+@pytest.mark.parametrize("rows", [[(1, "alone in its table")], [(2, "second"), (1, None)], ODD])
+def test_ends_of_few_rows_meet(docs, rows):
+    assert edits_got(fuzzy_hash.compare_with_edits(docs(rows))) == edits_of(rows)
 
 
 # --- mixing

@@ -13,7 +13,8 @@ batch at once with a 64-bit word for each signature.
 
 Defined cases: a null text is an empty one, whose fingerprint is ``3::``; equal fingerprints have likeness 1, an
 empty signature has likeness 0 to another. The next document follows in the order of (id, text hash); null ids come
-first; after the last comes the first. Rows that repeat an id each get a row. Very long texts are hashed whole.
+first; after the last comes the first. Rows that repeat an id each get a row, and rows alike in id and text follow each
+other. Very long texts are hashed whole. An empty table gives no rows; a single document comes after itself.
 """
 
 from __future__ import annotations
@@ -32,8 +33,15 @@ SPAN = 7
 SMALLEST = 3
 LONGEST = 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-# Texts of about this many bytes form one range of ids, the unit of work.
-RANGE = 16 << 20
+# Texts of about this many bytes form one range of ids, the unit of work; small inputs are cut into this many.
+RANGE = 128 << 20
+MIN_RANGES = 32
+# Characters that are compared at once.
+STEP = 4 << 20
+RESULT = {
+    "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
+    "near_edited": "double", "near_next": "double",
+}
 ODD = 0x5851F42D4C957F2D
 INVERSE = pow(ODD, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -171,70 +179,86 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _ranges(slim: DataFrame) -> DataFrame:
-    """Each row with the ranges of the order that need it: its own, and the one before if it comes first in its own.
+def _ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``text`` and ``part``: all rows in the order of (id, text hash), cut into ranges of about ``RANGE`` bytes.
 
-    The bounds are approximate quantiles of the key, so a range is bounded and their number follows the input. The first
-    row of each range is kept in a small written table, which is attached by a join, so the plan does not grow with it.
+    The bounds are sampled by the exchange, so neither the plan nor a row's work grows with their number. Rows that are
+    alike in id and text are ordered by where they were read, so no number of copies makes a range large.
     """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(8, -(-total // RANGE))
-    cuts = sorted(set(slim.filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-    placed = slim.withColumn("part", own.cast("long"))
-    # one row for each range: its first key and the range before it, for the first range the last one
-    ahead, everywhere = Window.orderBy("part"), Window.partitionBy()
-    firsts = placed.groupBy("part").agg(F.min(F.struct("doc_id", "twin")).alias("first")).select(
-        F.col("part").alias("_part"), F.col("first.doc_id").alias("_id"), F.col("first.twin").alias("_twin"),
-        F.coalesce(F.lag("part").over(ahead), F.max("part").over(everywhere)).alias("_before"))
-    firsts = materialize(firsts)
-    same = (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin"))
-    led = placed.join(F.broadcast(firsts), same, "left")
-    own_place = F.struct(F.col("part").alias("at"), F.lit(0).alias("extra"))
-    at = F.when(F.col("_before").isNull(), F.array(own_place)).otherwise(
-        F.array(own_place, F.struct(F.col("_before").alias("at"), F.lit(1).alias("extra"))))
-    return led.select("doc_id", "twin", "text", F.inline(at))
+    keys = ["doc_id", "twin", "place"]
+    keyed = slim.withColumn("twin", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(max(MIN_RANGES, -(-total // RANGE)), *keys).sortWithinPartitions(*keys)
+    return ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
+
+
+def _compared(pairs: list[tuple]) -> list[pa.Array]:
+    """The columns of ``RESULT`` for rows (id, text, fingerprint), each with the row after it."""
+    edited = [_edited(a[1], b[1]).encode() for a, b in pairs]
+    own, changed = [a[2] for a, _ in pairs], [fingerprint(e) for e in edited]
+    return [
+        pa.array([a[0] for a, _ in pairs], pa.int64()), pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
+        pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()), pa.array(own, pa.string()), pa.array(changed, pa.string()),
+        pa.array(likeness(own, changed)), pa.array(likeness(own, [b[2] for _, b in pairs])),
+    ]
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of one range but for its last row, and its two ends: the texts of its first and of its last row."""
+    names, held = [*RESULT, "part", "first", "last"], None
+
+    def finished(pairs: list[tuple]) -> pa.RecordBatch:
+        none = [pa.nulls(len(pairs), t) for t in (pa.int32(), pa.string(), pa.string())]
+        return pa.RecordBatch.from_arrays(_compared(pairs) + none, names)
+
+    def end(doc: int | None, part: int, first: str | None, last: str | None) -> pa.RecordBatch:
+        none = [pa.nulls(1, pa.string() if kind == "string" else pa.float64() if kind == "double" else pa.int64()) for kind in RESULT.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([doc], pa.int64()), *none[1:], pa.array([part], pa.int32()), pa.array([first], pa.string()), pa.array([last], pa.string())],
+            names)
+
+    for batch in batches:
+        pairs, size = [], 0
+        for doc, value, part in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "part")]):
+            row = (doc, value, fingerprint(value.encode()))
+            if held is None:
+                yield end(None, part, value, None)
+            else:
+                pairs.append((held, row))
+                size += len(value)
+            held, place = row, part
+            if size > STEP:
+                yield finished(pairs)
+                pairs, size = [], 0
+        if pairs:
+            yield finished(pairs)
+    if held is not None:
+        yield end(held[0], place, None, held[1])
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of rows whose next document begins another range."""
+    for batch in batches:
+        for doc, last, first in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "last", "first")]):
+            pair = ((doc, last, fingerprint(last.encode())), (None, first, fingerprint(first.encode())))
+            yield pa.RecordBatch.from_arrays(_compared([pair]), list(RESULT))
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document, its fingerprint, that of its text with the second half taken from the next document's
     start, and the likeness to both that text and the next document.
 
-    Texts are dealt once, by ranges of ids; a range also gets the first row after it. A range of ids that repeat
-    one id too often to split is sorted in one task, spilling to disk.
+    Texts are dealt once, by ranges of the order. A range finishes all its rows but the last, and writes the texts of its
+    first and last row, which are joined to their neighbours: two texts a range are all that moves again.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
-        "twin", F.xxhash64("text"))
-    dealt = _ranges(slim)
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the row whose successor has not come yet
-
-        def finished(pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if not pairs:
-                return
-            edited = [_edited(a[2], b[2]).encode() for a, b in pairs]
-            own, changed = [a[3] for a, _ in pairs], [fingerprint(e) for e in edited]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([a[0] for a, _ in pairs], pa.int64()), pa.array([len(a[2]) for a, _ in pairs], pa.int64()),
-                pa.array([hashlib.sha256(e).hexdigest() for e in edited]), pa.array(own), pa.array(changed),
-                pa.array(likeness(own, changed)), pa.array(likeness(own, [b[3] for _, b in pairs])),
-            ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-        for batch in batches:
-            pairs, size = [], 0
-            for doc, value, part, extra in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "extra")]):
-                row = (doc, part, value, fingerprint(value.encode()), extra)
-                if held is not None and held[1] == part and not held[4]:
-                    pairs.append((held, row))
-                    size += len(value)
-                held = row
-                if size > 4 << 20:
-                    yield from finished(pairs)
-                    pairs, size = [], 0
-            yield from finished(pairs)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ordered = dealt.repartition("at").sortWithinPartitions("at", "extra", "doc_id", "twin")
-    return ordered.select("doc_id", "text", "at", "extra").mapInArrow(compute, schema)
+    schema = ", ".join(f"{name} {kind}" for name, kind in RESULT.items())
+    written = materialize(_ranges(docs, doc_id, text).mapInArrow(_within, f"{schema}, part int, first string, last string"))
+    heads = written.filter("first is not null").select(F.col("part").alias("next"), "first")
+    # one number for each range; after the last range comes the first
+    after = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    tails = written.filter("last is not null").select("part", "doc_id", "last")
+    follows = tails.select("part").withColumn("next", after)
+    ends = tails.join(follows, "part").join(heads, "next").select("doc_id", "last", "first")
+    inner = written.filter("edited_sha256 is not null").select(*RESULT)
+    return inner.unionByName(ends.mapInArrow(_between, schema))
