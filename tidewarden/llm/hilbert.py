@@ -27,6 +27,8 @@ DIMENSIONS = 3
 # Rows of a cell that are numbered together, at the least number of parts.
 PART_ROWS = 100_000
 MIN_PARTS = 64
+# Text of one written file, if the caller names no number of files.
+FILE_BYTES = 1 << 30
 ROW_BITS = 33  # of a generated row number: its place in the partition
 
 
@@ -140,7 +142,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``size``, ``text_crc32``, ``cell``, ``shard``, ``slot``.
+    """One row per document: ``doc_id``, ``size``, ``text_crc32``, ``cell``, ``shard``, ``slot``, ``shard_rows``.
 
     Shard k holds the ranks from k * total / shards on, rounded up: row counts differ by one at most.
     """
@@ -148,24 +150,30 @@ def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str
     shard = F.floor(F.col("rank") * shards / F.col("total")).cast("int")
     exact = F.when(F.col("rank") < F.ceil(shard * F.col("total") / shards), shard - 1).when(
         F.col("rank") >= F.ceil((shard + 1) * F.col("total") / shards), shard + 1).otherwise(shard)
-    first = F.ceil(F.col("shard") * F.col("total") / shards)
+    first, after = (F.ceil((F.col("shard") + k) * F.col("total") / shards) for k in (0, 1))
     return rows.withColumn("shard", exact.cast("int")).select(
-        "doc_id", "size", "text_crc32", "cell", "shard", (F.col("rank") - first).cast("long").alias("slot"))
+        "doc_id", "size", "text_crc32", "cell", "shard", (F.col("rank") - first).cast("long").alias("slot"),
+        (after - first).cast("long").alias("shard_rows"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, files: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` as Parquet, a folder for each shard, each file a run of the curve; returns the files' boxes.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write ``docs`` as Parquet, a folder for each shard and in it one for each run of the curve; returns the shards' boxes.
 
-    The boxes (smallest and largest source, language and length for each shard) tell which files a reader can skip.
-    Ids must be unique; rows with a null id go to the first shard.
+    A shard is written as ``files`` runs, or as many as hold about ``FILE_BYTES`` of text each. The boxes (smallest and
+    largest source, language and length for each shard) tell which files a reader can skip. Ids must be unique; rows with
+    a null id go to the first shard, spread over its runs.
     """
-    where = sharded(docs, shards, doc_id, text).filter("doc_id is not null").select(F.col("doc_id").alias("own_id"), "shard", "slot", "cell")
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
-    joined = rows.join(where, F.col("id") == F.col("own_id"), "left").select(
-        "row", F.coalesce("shard", F.lit(0)).alias("shard"), F.coalesce("slot", F.lit(-1)).alias("slot"))
-    run = F.floor(F.col("slot") / F.max("slot").over(Window.partitionBy("shard")) * files).cast("int") if files > 1 else F.lit(0)
-    dealt = joined.withColumn("run", run).repartition("shard", "run").sortWithinPartitions("shard", "slot")
-    dealt.select("shard", "row").write.partitionBy("shard").parquet(path)
+    placed_rows = materialize(sharded(docs, shards, doc_id, text).select(
+        F.col("doc_id").alias("own_id"), "shard", F.floor(F.col("slot") / F.col("shard_rows") * F.lit(1 << 30)).alias("share"), "slot", "size"))
+    if files is None:
+        files = max(1, -(-(placed_rows.agg(F.sum("size")).first()[0] or 0) // (shards * FILE_BYTES)))
+    where = placed_rows.filter("own_id is not null").drop("size")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("twin"))
+    joined = rows.join(where, F.col("id") == F.col("own_id"), "left")
+    run = F.coalesce(F.shiftright(F.col("share") * files, 30), F.pmod("twin", F.lit(files)))
+    dealt = joined.select("row", F.coalesce("shard", F.lit(0)).alias("shard"), F.coalesce("slot", F.lit(-1)).alias("slot"), run.cast("int").alias("run"))
+    dealt = dealt.repartition("shard", "run").sortWithinPartitions("shard", "run", "slot")
+    dealt.select("shard", "run", "row").write.partitionBy("shard", "run").parquet(path)
     written = docs.sparkSession.read.parquet(path)
     return written.groupBy("shard").agg(
         F.count(F.lit(1)).alias("rows"), F.min("row.source").alias("min_source"), F.max("row.source").alias("max_source"),

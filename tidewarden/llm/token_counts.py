@@ -8,7 +8,7 @@ step for each byte, and no piece is ever built. All distinct words of a batch wa
 The automaton is built on the driver's vocabulary once a worker; its size is that of the vocabulary file.
 
 Defined cases: a null or empty text has 0 tokens; a byte that no piece covers counts as one unknown token; upper case
-A-Z counts as lower case if the vocabulary is lower case. Rows that repeat an id each get a row. Very long texts and
+A-Z always counts as lower case, so the vocabulary has to be a lower-case one. Rows that repeat an id each get a row. Very long texts and
 words are counted whole. Extra columns play no part. An empty table gives an empty result.
 """
 
