@@ -174,9 +174,10 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def named_components(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """Add ``component_id`` to (``doc_id``, ``fp``), from the smallest id of each ``fp`` and the links between them."""
     found = connected_components(links)
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    # written, so that the join on a root of very many fingerprints can be split
+    roots = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = rooted.join(roots, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
