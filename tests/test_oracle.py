@@ -31,6 +31,18 @@ def test_query_equals_sql(spark, folder, con, name):
     assert normal(got) == normal(want)
 
 
+@pytest.mark.parametrize("name", ["e2_policy_edits"])
+@pytest.mark.parametrize("value, k", [(1.0, 1), (1.0, 3), (90.0, 2)])
+def test_policies_that_decide_nothing_have_a_row(spark, folder, tmp_path, name, value, k):
+    """Quiet windows only, or anomalies only, so that some conditions hold for no window."""
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"""copy (select * replace ({value}::double as value, '{{"k": {k}}}' as props) from '{folder}/events.parquet') to '{tmp_path}/events.parquet'""")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.sql(entry.oracle_sql()[name]).df()
+    assert normal(entry.queries()[name](spark, str(tmp_path)).toPandas()) == normal(want)
+
+
 def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["result_id", "rank", "timestamp"] and df.count() > 0

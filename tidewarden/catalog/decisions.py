@@ -213,6 +213,11 @@ CONDITION_CASES = {
 }
 
 
+def with_zeros(made, expected, count):
+    """Every expected row, with a count of 0 where ``made`` lacks it, and all other rows of ``made``."""
+    return made.join(expected, expected.columns, "full").withColumn(count, F.coalesce(count, F.lit(0).cast("long")))
+
+
 @query("p10_conditions", with_sql(RESULTS_SQL, """
 select 'equal_text' as policy_name, count(*) as matches from results where prediction = 'attack'
 union all select 'equal_flag', count(*) from results where is_anomaly
@@ -364,7 +369,7 @@ select 'anomaly_detection' as policy_name, 'block_ip' as action, false as requir
 union all select 'quiet_host', 'monitor', true, count(*) from results where prediction = 'normal'
 union all select 'suspicious_activity', 'alert,monitor', false, count(*) from results where prediction = 'suspicious' and severity = 'medium' and risk_score >= 0.6"""))
 def _(spark, sf):
-    """Add, replace, remove and update policies, then decide with the edited table."""
+    """Add, replace, remove and update policies, then decide with the edited table; a policy that decides nothing has a row too."""
     t = policy_table(spark)
     fresh = policy_table(spark, [
         Policy("quiet_host", "Watch quiet hosts", {"prediction": "normal"}, ["monitor"], 5),
@@ -373,8 +378,9 @@ def _(spark, sf):
     t = add_policies(t, fresh)
     t = remove_policies(t, spark.createDataFrame([("high_risk_attack",), ("whitelist_override",), ("blacklist_immediate",), ("absent",)], "name string"))
     t = update_policies(t, spark.createDataFrame([("suspicious_activity", 1, "ignored")], "name string, priority int, colour string"))
-    d = decide(results(spark, sf), read_policies(t))
-    return d.groupBy("policy_name", "action", "requires_approval").agg(F.count(F.lit(1)).alias("decisions"))
+    made = decide(results(spark, sf), read_policies(t)).groupBy("policy_name", "action", "requires_approval").agg(F.count(F.lit(1)).alias("decisions"))
+    edited = t.select(F.col("name").alias("policy_name"), F.array_join("actions", ",").alias("action"), (F.col("priority") > 1).alias("requires_approval"))
+    return with_zeros(made, edited, "decisions")
 
 
 @query("e3_default_policies", with_sql(DECISIONS_SQL, """
