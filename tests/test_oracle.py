@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, folder, con, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["e2_policy_edits"])
+@pytest.mark.parametrize("name", ["e2_policy_edits", "p10_conditions"])
 @pytest.mark.parametrize("value, k", [(1.0, 1), (1.0, 3), (90.0, 2)])
 def test_policies_that_decide_nothing_have_a_row(spark, folder, tmp_path, name, value, k):
     """Quiet windows only, or anomalies only, so that some conditions hold for no window."""

@@ -211,6 +211,8 @@ CONDITION_CASES = {
     "at_least": {"risk_score": {"min": 0.75}}, "between": {"risk_score": {"min": 0.5, "max": 0.9}}, "missing": {"no_such_field": 1},
     "unknown_operator": {"risk_score": {"over": 0.1}}, "unlike_types": {"prediction": {"min": 1}}, "both": {"is_attack": True, "severity": "high"},
 }
+# Cases that can't hold for any result; they give a row only if one holds all the same.
+NEVER = ("missing", "unknown_operator", "unlike_types")
 
 
 def with_zeros(made, expected, count):
@@ -227,7 +229,8 @@ union all select 'between', count(*) from results where risk_score between 0.5 a
 union all select 'both', count(*) from results where is_attack and severity = 'high'"""))
 def _(spark, sf):
     cases = [Policy(name, name, c, ["alert"], 1) for name, c in CONDITION_CASES.items()]
-    return decide(results(spark, sf), cases).groupBy("policy_name").agg(F.count(F.lit(1)).alias("matches"))
+    made = decide(results(spark, sf), cases).groupBy("policy_name").agg(F.count(F.lit(1)).alias("matches"))
+    return with_zeros(made, spark.createDataFrame([(name,) for name in CONDITION_CASES if name not in NEVER], "policy_name string"), "matches")
 
 
 @query("p11_list_conditions", with_sql(DECISIONS_SQL, """
