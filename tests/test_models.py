@@ -94,6 +94,58 @@ def test_nested_search_scores_prefixes_as_mllib_does(spark):
         assert table.predictions(vectors, sizes)[0].tolist() == [int(t) for t in theirs]
 
 
+def repeated(spark, copies):
+    rows = spark.range(700 * copies).withColumn("k", F.col("id") % 700)
+    label = F.when((F.col("k") % 7 >= 3) != (F.col("k") % 5 >= 2), "attack").otherwise("normal")
+    return rows.select("id", *[(F.col("k") % n).cast("double").alias(f"x{i}") for i, n in enumerate((7, 5, 11))], label.alias("Label"))
+
+
+def test_boosting_search_runs_few_jobs_and_agrees_with_mllib(spark):
+    """Rounds cost no job, and the accuracies are those of MLlib's boosting on the same folds."""
+    df, columns = repeated(spark, 1).withColumn("x2", F.col("x2") + F.rand(3)), ["x0", "x1", "x2"]
+    spark.sparkContext.setJobGroup("boosting-search", "")
+    grid = {"maxIter": [1, 20], "maxDepth": [2, 4], "stepSize": [0.1]}
+    found, _ = nested_search(df, columns, c.gradient_boosting(2, maxIter=1), grid, "id")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting-search"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 250  # the rest belongs to the one fit on all rows
+    for settings, accuracy in found:
+        search, _ = c.grid_search(df, columns, c.gradient_boosting(2), {n: [v] for n, v in settings.items()}, "id")
+        assert accuracy == pytest.approx(search.avgMetrics[0], abs=0.03)
+
+
+def test_alike_rows_are_fitted_as_one_with_their_weight(spark, monkeypatch):
+    """300 times as many rows cost a fit no more rows, all of them count, and no task gets more than its share."""
+    columns = ["x0", "x1", "x2"]
+    few, many = repeated(spark, 1), repeated(spark, 300)
+    scaled = many.withColumn(prepare.LABEL_INDEX, (F.col("Label") == "attack").cast("double"))
+    bins = prepare.bin_stage(scaled, columns, 32)
+    names, total = bins.getOutputCols(), 700 * 300
+    whole = prepare.alike_rows(bins.transform(scaled), names, total, drawn=False)
+    assert whole.count() <= 700 and whole.agg(F.sum(prepare.WEIGHT)).first()[0] == total
+    assert prepare.alike_rows(bins.transform(scaled), names, total, drawn=True).count() == total
+    monkeypatch.setattr(prepare, "LOTS", 2_000)
+    monkeypatch.setattr(prepare, "TASK_ROWS", 500)
+    lots = prepare.alike_rows(bins.transform(scaled), names, total, drawn=True)
+    assert lots.count() <= 2_000 + 700 and lots.agg(F.max(prepare.WEIGHT)).first()[0] <= 105
+    assert lots.agg(F.sum(prepare.WEIGHT)).first()[0] == pytest.approx(total)
+    held = [r["count"] for r in lots.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) <= 510 and len(held) >= 4
+    for estimator in (c.random_forest(numTrees=20, maxDepth=8), c.gradient_boosting(2, maxIter=5, maxDepth=4),
+                      c.sampled_boosting(2, maxIter=5, maxDepth=4), c.gradient_boosting(3, maxIter=3, maxDepth=4)):
+        model = c.fit(many, columns, estimator)
+        assert c.predict(model, few).filter(registry.label_of(model) != F.col("Label")).count() == 0
+
+
+def test_bins_keep_rare_values_apart(spark):
+    """A value of one row in a thousand decides the label; quantiles alone would put it into its neighbour's bin."""
+    df = spark.range(4000).select("id", F.when(F.col("id") % 1000 == 7, 1.0).otherwise(F.when(F.col("id") % 3 == 0, 0.0).otherwise(2.0)).alias("x"),
+                                  F.lit(5.0).alias("constant"), (F.col("id") * 0.5).alias("spread"))
+    df = df.withColumn("Label", F.when(F.col("x") == 1.0, "rare").otherwise("plain"))
+    model = c.fit(df, ["x", "constant", "spread"], c.gradient_boosting(2, maxIter=3, maxDepth=3))
+    assert c.predict(model, df).filter(registry.label_of(model) != F.col("Label")).count() == 0
+
+
 def test_all_models_of_a_run_are_loaded_by_name_and_score(spark, points):
     folder = run_dir(spark, "training")
     small = {"numTrees": 5, "maxDepth": 4}
