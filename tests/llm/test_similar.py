@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidewarden.llm import similar
 
 
@@ -115,3 +117,22 @@ def test_a_crowd_below_the_threshold_hides_no_link(docs):
         assert found(docs(rows)) == expected
     finally:
         similar.BLOCK = old
+
+
+def test_texts_meet_by_their_simhash_fingerprints(docs, monkeypatch):
+    """Fingerprints are plain SimHash; without any band, those within three bits still meet and pass the exact check."""
+    rng, words = random.Random(4), np.random.default_rng(4)
+    for size in (0, 1, 4, 9001):
+        hashes = np.unique(words.integers(0, 2**63, size, np.uint64) * np.uint64(2))
+        plain = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+        assert similar.fingerprint(hashes) % 2**64 == plain
+    rows = []
+    for d in range(40):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [" ".join(text), " ".join([*text[:-1], f"last{d}"])]
+    rows += [" ", "", "\t"]
+    rows = list(enumerate(rows, 1))
+    monkeypatch.setattr(similar, "band_keys", lambda shingles, bands: np.empty(0, np.int64))
+    expected, got = brute_components(rows), found(docs(rows))
+    assert all(expected[got[i]] == expected[i] for i in got)
+    assert sum(got[i] != i for i in got) >= 0.8 * sum(expected[i] != i for i in expected)

@@ -1,9 +1,11 @@
-"""Documents whose sets of word shingles are alike: MinHash bands to meet in, then an exact check of all that meet.
+"""Documents whose sets of word shingles are alike: SimHash components and MinHash bands to meet in, then an exact check.
 
-A text's set of ``shingle``-word shingles is reduced to ``BANDS`` keys of ``ROWS`` minima each. Two texts meet where a
-key is the same, which has probability ``s ** ROWS`` a key for a similarity ``s`` (Jaccard), however the edits lie. All
-members that meet are compared on their full sets, and only links at ``similarity`` or more leave a group, reduced to a
-forest AFTER the check: a crowd of texts just below the threshold hides no link, and m members send at most m - 1.
+A text's set of ``shingle``-word shingles gets a SimHash fingerprint, and texts meet whose fingerprints the SimHash operator
+joins (3 or fewer differing bits, found at the anchors of its code). Those are few of the pairs at 0.8, so the set is also
+reduced to ``BANDS`` keys of ``ROWS`` minima each, and texts meet where a key is the same, which has probability
+``s ** ROWS`` a key for a similarity ``s`` (Jaccard), however the edits lie. All members that meet in either way are
+compared on their full sets, and only links at ``similarity`` or more leave a group, reduced to a forest AFTER the check: a
+crowd of texts just below the threshold hides no link, and m members send at most m - 1.
 
 A pair at 0.8 meets in one key or more with probability 0.998 for 16 bands of five (0.9999 at 0.85, 0.13 at 0.4).
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.llm.components import connected_components
-from tidewarden.llm.simhash import first_rows, named_components
+from tidewarden.llm.simhash import first_rows, linked, named_components
 from tidewarden.llm.words import hashes_of, mixed, slices, word_spans
 from tidewarden.session import materialize
 
@@ -72,26 +74,44 @@ def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, signed: a bit is 1 if it is set in over half of them; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), STEP):
+        bits = np.unpackbits(shingles[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def prints_of(docs: DataFrame, shingle: int, bands: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``fp`` (the key of the text), ``n`` (its shingles) and ``keys``; one pass without a shuffle."""
+    """``doc_id``, ``fp`` (the key of the text), ``n`` (its shingles), ``simhash`` and ``keys``; one pass without a shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, prints, keys = [], [], []
             for words in word_hashes(batch):
                 found = shingle_set(words, shingle)
                 sizes.append(len(found))
+                prints.append(fingerprint(found))
                 keys.append(band_keys(found, bands))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "fp", "n", "keys"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "fp", "n", "simhash", "keys"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("fp"), F.col(text).alias("text"))
-    return slim.mapInArrow(compute, "doc_id long, fp long, n long, keys array<long>")
+    return slim.mapInArrow(compute, "doc_id long, fp long, n long, simhash long, keys array<long>")
+
+
+def with_simhash_key(distinct: DataFrame) -> DataFrame:
+    """One more of the ``keys``: the component of the text's fingerprint, by the SimHash operator."""
+    found = linked(distinct.select(F.col("fp").alias("doc_id"), F.col("simhash").alias("fp")))
+    component = found.select(F.col("doc_id").alias("fp"), F.xxhash64(F.lit("simhash"), F.col("component_id")).alias("_component"))
+    return distinct.join(component, "fp").withColumn("keys", F.concat("keys", F.array("_component"))).drop("_component", "simhash")
 
 
 def meetings(distinct: DataFrame) -> DataFrame:
@@ -205,8 +225,9 @@ def alike_documents(
     """One row per document: ``doc_id`` and ``component_id``, the smallest id reachable over links."""
     prints = materialize(prints_of(docs, shingle, bands, doc_id, text))
     distinct = materialize(prints.groupBy("fp").agg(
-        F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
-    met = materialize(meetings(distinct))
+        F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("simhash").alias("simhash"),
+        F.any_value("keys").alias("keys")))
+    met = materialize(meetings(with_simhash_key(distinct)))
     sets = materialize(shingle_sets(docs, met.select("fp").distinct(), shingle, text))
     links = links_of(met, sets, similarity)
     return named_components(prints.select("doc_id", "fp"), distinct.select("fp", "first"), links).select("doc_id", "component_id")
