@@ -45,6 +45,17 @@ def test_no_line_is_lost_or_repeated(tmp_path, piece):
     assert sorted(got) == sorted(want)
 
 
+def test_small_pieces_share_tasks(tmp_path):
+    """Ten thousand pieces make a bounded number of tasks; large pieces keep a task each."""
+    (tmp_path / "a.log").write_bytes(b"x" * 9 + b"\n" + b"".join(b"line %d\n" % i for i in range(10_000)))
+    reader = LogTailReader(str(tmp_path), "*.log", 10)
+    now = reader.latestOffset()
+    assert len(reader.partitions({}, now)) <= 64
+    assert len(read_all(reader, {}, now)) == 10_001
+    large = LogTailReader(str(tmp_path), "*.log", 64 << 20).partitions({}, {"a.log": {"bytes": 100 * (64 << 20), "head": 0}})
+    assert len(large) == 100 and all(len(p.pieces) == 1 for p in large)
+
+
 def test_replaced_files_are_read_from_their_beginning(tmp_path):
     log = tmp_path / "conn.log"
     reader = LogTailReader(str(tmp_path), "*", 100)

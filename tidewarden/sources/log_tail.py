@@ -23,6 +23,8 @@ NAME = "tidewarden_log_tail"
 PIECE = 64 << 20
 CHUNK = 4 << 20
 HEAD = 256
+# Pieces of a micro-batch beyond this many are read several to a task, as long as that is no more than PIECE bytes.
+TASKS = 64
 FIELDS = ["file", "at", "value"]
 SHAPE = pa.schema([("file", pa.string()), ("at", pa.int64()), ("value", pa.string())])
 
@@ -41,6 +43,13 @@ class LogPiece(InputPartition):
         self.name, self.first, self.after, self.end = name, first, after, end
 
 
+class LogPieces(InputPartition):
+    """The pieces that one task reads, one after the other."""
+
+    def __init__(self, pieces: list[LogPiece]):
+        self.pieces = pieces
+
+
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, path: str, pattern: str, piece: int):
         self.path, self.pattern, self.piece = path, pattern, piece
@@ -76,7 +85,7 @@ class LogTailReader(DataSourceStreamReader):
                     found[info.base_name] = {"bytes": end, "head": self._head(file, end)}
         return found
 
-    def partitions(self, start: dict, end: dict) -> list[LogPiece]:
+    def partitions(self, start: dict, end: dict) -> list[LogPieces]:
         system, folder = opened(self.path)
         pieces = []
         for name, now in sorted(end.items()):
@@ -87,9 +96,14 @@ class LogTailReader(DataSourceStreamReader):
                 with system.open_input_file(f"{folder}/{name}") as file:
                     first = before["bytes"] if self._head(file, before["bytes"]) == before["head"] else 0
             pieces += [LogPiece(name, at, min(at + self.piece, now["bytes"]), now["bytes"]) for at in range(first, now["bytes"], self.piece)]
-        return pieces
+        together = max(min(-(-len(pieces) // TASKS), PIECE // self.piece), 1)
+        return [LogPieces(pieces[i : i + together]) for i in range(0, len(pieces), together)]
+
+    def read(self, partition: LogPieces) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces:
+            yield from self._read_piece(piece)
 
-    def read(self, partition: LogPiece) -> Iterator[pa.RecordBatch]:
+    def _read_piece(self, partition: LogPiece) -> Iterator[pa.RecordBatch]:
         system, folder = opened(self.path)
         with system.open_input_file(f"{folder}/{partition.name}") as file:
             at = partition.first
@@ -124,7 +138,7 @@ class LogTailReader(DataSourceStreamReader):
 
 
 class LogTail(DataSource):
-    """Options: ``path`` (a folder), ``pattern`` of file names (all), ``piece`` (bytes of one task at most)."""
+    """Options: ``path`` (a folder), ``pattern`` of file names (all), ``piece`` (bytes that are read as one; small ones share a task)."""
 
     @classmethod
     def name(cls) -> str:
