@@ -43,6 +43,18 @@ def test_policies_that_decide_nothing_have_a_row(spark, folder, tmp_path, name,
     assert normal(entry.queries()[name](spark, str(tmp_path)).toPandas()) == normal(want)
 
 
+def test_all_stages_place_windows_once(spark, folder, con, monkeypatch):
+    """Features, scoring and decisions read one table of windows."""
+    from tidewarden.catalog import decisions, flows, metrics
+
+    placed, original = [], flows.stats
+    for module in (decisions, metrics):
+        monkeypatch.setattr(module, "stats", lambda *args, **named: placed.append(1) or original(*args, **named))
+    got = entry.queries()["a18_all_stages"](spark, folder).toPandas()
+    assert len(placed) == 1
+    assert normal(got) == normal(con.sql(entry.oracle_sql()["a18_all_stages"]).df())
+
+
 def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["result_id", "rank", "timestamp"] and df.count() > 0

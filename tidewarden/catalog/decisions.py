@@ -26,13 +26,21 @@ BLOCK_SECONDS = 6 * 3600
 AS_OF = 1_705_300_000 * SECOND
 
 
+def features_of(windows):
+    return feature_record(windows.withColumns({n: F.lit(0) for n in (*DISTINCT, *RECENT)}))
+
+
 def window_features(spark, sf):
     """Window features without host context, which the traffic rule does not read."""
-    return feature_record(stats(spark, sf, text=True).withColumns({n: F.lit(0) for n in (*DISTINCT, *RECENT)}))
+    return features_of(stats(spark, sf, text=True))
+
+
+def results_of(windows):
+    return scoring.score(features_of(windows)).withColumn("result_id", F.col("window_id"))
 
 
 def results(spark, sf):
-    return scoring.score(window_features(spark, sf)).withColumn("result_id", F.col("window_id"))
+    return results_of(stats(spark, sf, text=True))
 
 
 def decisions(spark, sf, policies=DEFAULT_POLICIES):

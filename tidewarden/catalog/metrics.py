@@ -2,14 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tidewarden.catalog.decisions import DECISIONS_SQL, decisions, results
+from tidewarden.catalog.decisions import DECISIONS_SQL, results_of
 from tidewarden.catalog.flows import r6, stats
 from tidewarden.catalog.registry import query
 from tidewarden.catalog.tables import (
-    DAY, FLOWS_SQL, METRICS_SQL, NOW, READINGS_SQL, SECOND, flows, host_readings, metric_events, table, with_sql,
+    DAY, FLOWS_SQL, METRICS_SQL, NOW, READINGS_SQL, SECOND, blacklist, flows, host_readings, metric_events, table, whitelist, with_sql,
 )
 from tidewarden.functions.records import micros, or_default
 from tidewarden.operators import hosts, monitoring as m
+from tidewarden.operators.policies import DEFAULT_POLICIES, decide
 from tidewarden.session import materialize
 from tidewarden.sources.conn_log import conn_lines, good_rows, parse_conn_lines, rejected_rows
 
@@ -222,9 +223,10 @@ stage_totals as (
     ({NOW} - min(case when good then moment end)) / 1e6 as uptime from written group by 1)
 select stage, processed, errors, round(uptime, 3) as uptime_seconds, round(processed / uptime, 6) as per_second from stage_totals"""))
 def _(spark, sf):
-    """The stages after capture; a metric event without a type is an error of its stage. Windows are written once."""
-    windows = materialize(stats(spark, sf))
-    scored, decided = materialize(results(spark, sf)), decisions(spark, sf)
+    """The stages after capture; a metric event without a type is an error of its stage. Windows and results are computed once."""
+    windows = materialize(stats(spark, sf, text=True))
+    scored = materialize(results_of(windows))
+    decided = decide(scored, DEFAULT_POLICIES, whitelist(spark, sf), blacklist(spark, sf))
     events = metric_events(spark, sf).withColumn("at", micros("timestamp"))
     found = m.stages_statistics({
         "features": (windows, None, "first_at"),
