@@ -97,3 +97,18 @@ def test_a_backlog_of_one_key_is_linear(spark):
     found = drain(stream_blocks(streamed(spark, [acts_of(df), acts_of(end)]), 300, "1 minute"))
     assert sorted(r["result_id"] for r in found.filter("result_id >= 0").collect()) == list(range(0, 100_000, 15_000))
     assert time.time() - start < 120
+
+
+def test_live_statistics_write_messages_in_bounded_files(spark, folder, monkeypatch):
+    """Three micro-batches of as many files as the rows need."""
+    import __spark_entry__ as entry
+    from tidewarden.catalog import streams
+
+    taken, original = [], streams.folder_stream
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    monkeypatch.setattr(streams, "folder_stream", lambda s, path, files: taken.append((files, s.read.format("binaryFile").load(path).count())) or original(s, path, files))
+    rows = spark.read.parquet(f"{folder}/events.parquet").count()
+    got = entry.queries()["a18_live_statistics"](spark, folder).first()
+    files = -(-rows // 300)
+    assert taken == [(files, 3 * files)] and files > 1
+    assert got["processed"] + got["errors"] == rows

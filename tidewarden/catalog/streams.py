@@ -286,6 +286,14 @@ def _(spark, sf):
     return drain_per_batch(flow_stream(spark, sf), tag)
 
 
+FILE_ROWS = 500_000
+
+
+def files_per_batch(rows, batches):
+    """How many files of at most about ``FILE_ROWS`` rows each of so many micro-batches takes."""
+    return max(-(-rows // (batches * FILE_ROWS)), 1)
+
+
 @query("a18_live_statistics", with_sql(FLOWS_SQL, f"""
 select 'capture' as stage, count(case when record_id % 40 <> 1 then 1 end) as processed, count(case when record_id % 40 = 1 then 1 end) as errors,
   round(({NOW} - min(case when record_id % 40 <> 1 then ts_us end)) / 1e6, 2) as uptime_seconds,
@@ -294,8 +302,9 @@ def _(spark, sf):
     """Counts taken while a stream of messages runs in three micro-batches, some messages broken; nothing is read again for them."""
     path, folder = run_dir(spark, "topic"), run_dir(spark, "statistics")
     f = flows(spark, sf)
-    f.select(F.when(F.col("record_id") % 40 == 1, "{broken").otherwise(F.to_json(F.struct("*"))).alias("value")).repartition(3).write.text(path)
-    decoded = decode_json(folder_stream(spark, path, 1), with_id(FLOW_SCHEMA, "record_id"))
+    files = files_per_batch(f.count(), 3)
+    f.select(F.when(F.col("record_id") % 40 == 1, "{broken").otherwise(F.to_json(F.struct("*"))).alias("value")).repartition(3 * files).write.text(path)
+    decoded = decode_json(folder_stream(spark, path, files), with_id(FLOW_SCHEMA, "record_id"))
     counted = observed(decoded, "capture", micros(), F.col("reject_reason").isNotNull()).filter("reject_reason is null")
     writer = StatisticsWriter(spark, folder)
     spark.streams.addListener(writer)
