@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.text import character_entropy, text_entropy
 from tidewarden.operators import hosts, monitoring as m
+from tidewarden.schemas import FLOW_SCHEMA
 from tidewarden.sinks.keyed import keyed_json, write_keyed_json
 from tidewarden.sources.conn_log import read_conn_log, read_conn_rejects
-from tidewarden.sources.eve_log import normalise_eve, read_eve_log
+from tidewarden.sources.eve_log import decode_json, good_json, normalise_eve, read_eve_log
 from tidewarden.sources.labelled import read_labelled_csv
 
 LINE = "1704067200.5\tC1\t10.0.0.1\t1024\t10.0.0.2\t80\ttcp\thttp\t-\t100\t-\tSF\tT\tF\t0\tShADadFf\t5\t300\t4\t-"
@@ -58,6 +59,16 @@ def test_entropy(spark):
     assert {r["id"]: r["entropy"] for r in character_entropy(df, ["id"], ["t"]).collect()} == want
 
 
+def test_messages_are_decoded_once(spark, tmp_path):
+    lines = ['{"src_ip": "a"}', "no json", "[]", "", '{"src_ip": "b"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "in"))
+    read = spark.read.text(str(tmp_path / "in"))
+    decoded = good_json(decode_json(read, FLOW_SCHEMA))
+    assert decoded._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(r["src_ip"] for r in decoded.collect()) == ["a", "b"]
+    assert decode_json(read, FLOW_SCHEMA).filter("reject_reason is not null").count() == 3
+
+
 def test_host_context_skips_unknown(spark):
     df = records(spark, [{"at": 0.0, "dst_ip": "", "dst_port": 0}, {"at": 1.0}, {"at": 2.0, "dst_ip": "c"}, {"at": 3.0, "src_ip": ""}, {"at": 70.0, "dst_port": 81}])
     got = {r["record_id"]: (r["unique_dst_ips"], r["unique_dst_ports"]) for r in hosts.distinct_so_far(df).collect()}

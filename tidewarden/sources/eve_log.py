@@ -19,7 +19,8 @@ def decode_json(lines: DataFrame, schema: T.StructType, value: str = "value") ->
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     other = [c for c in lines.columns if c != value]
-    decoded = lines.withColumn("_j", F.from_json(F.trim(value), with_corrupt, options))
+    # Exploded from an array of one, so that filters stay above and no line is decoded again for them.
+    decoded = lines.withColumn("_j", F.explode(F.array(F.from_json(F.trim(value), with_corrupt, options))))
     bad = F.col("_j").isNull() | F.col("_j._corrupt").isNotNull()
     return decoded.select(
         *other, value, F.when(bad, "not JSON").alias("reject_reason"), *[F.col(f"_j.{n}").alias(n) for n in schema.names]
