@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.text import character_entropy, text_entropy
 from tidewarden.operators import hosts, monitoring as m
+from tidewarden.operators.flows import flow_features
 from tidewarden.schemas import FLOW_SCHEMA
 from tidewarden.sinks.keyed import keyed_json, write_keyed_json
 from tidewarden.sources.conn_log import read_conn_log, read_conn_rejects
@@ -59,6 +60,14 @@ def test_entropy(spark):
     assert {r["id"]: r["entropy"] for r in character_entropy(df, ["id"], ["t"]).collect()} == want
 
 
+def test_entropy_reads_a_text_once(spark):
+    """Whatever its alphabet; before, every different character was searched for in the whole text."""
+    df = spark.createDataFrame([(1, "".join(chr(0x4E00 + i) for i in range(4096)) + "\U0001F600" * 4096), (2, None)], "id int, t string")
+    got = df.select("id", text_entropy(F.col("t")).alias("e"))
+    assert "replace(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: round(r["e"], 9) for r in got.collect()} == {1: 7.0, 2: 0.0}
+
+
 def test_messages_are_decoded_once(spark, tmp_path):
     lines = ['{"src_ip": "a"}', "no json", "[]", "", '{"src_ip": "b"}']
     spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "in"))
@@ -69,6 +78,17 @@ def test_messages_are_decoded_once(spark, tmp_path):
     assert decode_json(read, FLOW_SCHEMA).filter("reject_reason is not null").count() == 3
 
 
+def test_application_logs_are_read_once(spark, tmp_path):
+    """The statistics of a log read it several times: they read it as written with its windows, not its files."""
+    df = records(spark, [{"at": 0.0, "uid": "u0"}, {"at": 100.0, "uid": "u1"}])
+    log = [("u0", "GET", "/a", 200, "x"), ("u0", "GET", "/b", 404, "y"), ("u9", "PUT", "/", 200, "x")]
+    spark.createDataFrame(log, "uid string, method string, uri string, status int, user_agent string").write.parquet(str(tmp_path / "http"))
+    found = flow_features(df, http=spark.read.parquet(str(tmp_path / "http")))
+    assert not [f for f in found.inputFiles() if "/http/" in f]
+    got = {r["window_id"]: r["http_features"] for r in found.collect()}
+    assert got[0]["request_count"] == 2 and got[0]["status_codes"] == {"200": 1, "404": 1} and got[1]["request_count"] == 0
+
+
 def test_host_context_skips_unknown(spark):
     df = records(spark, [{"at": 0.0, "dst_ip": "", "dst_port": 0}, {"at": 1.0}, {"at": 2.0, "dst_ip": "c"}, {"at": 3.0, "src_ip": ""}, {"at": 70.0, "dst_port": 81}])
     got = {r["record_id"]: (r["unique_dst_ips"], r["unique_dst_ports"]) for r in hosts.distinct_so_far(df).collect()}

@@ -5,6 +5,7 @@ from helpers import brute_windows, records
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewarden.operators import anchored
 from tidewarden.operators.anchored import anchored_starts, anchored_windows
 from tidewarden.operators.flows import flow_windows, window_statistics
 from tidewarden.operators.running import running_totals, sliced_totals, totals_between
@@ -16,6 +17,14 @@ def rows(seed, keys=4, count=400, span=300):
     return [("hot" if pick.random() < 0.4 else f"k{pick.randrange(keys)}", pick.randrange(span), i) for i in range(count)]
 
 
+def test_busy_keys_meet_their_windows_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(anchored, "TASK_ROWS", 50)
+    df = spark.createDataFrame(rows(3), "key string, at long, id long")
+    got = anchored_windows(df, ["key"], "at", "id", 10, None, 10, 1000)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: (r["window_at"], r["window_id"]) for r in got.collect()} == brute_windows(rows(3), 10, None)
+
+
 @pytest.mark.parametrize("width,cap", [(10, None), (10, 3), (0, None), (50, 7), (1000, None), (1000, 5)])
 @pytest.mark.parametrize("hot_rows,block_rows", [(10, 1000), (10, 40), (10, 9), (10_000, 1000)])
 def test_windows_match_brute_force(spark, width, cap, hot_rows, block_rows):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,22 @@ def characters(text: Column) -> Column:
 
 
 def text_entropy(text: Column) -> Column:
-    """Shannon entropy (bits per character) of one text held in a row; 0 for an empty text."""
-    total = F.length(text)
-    counts = F.transform(
-        F.array_distinct(characters(text)), lambda c: total - F.length(F.replace(text, c, F.lit("")))
-    )
-    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n * F.log2(n.cast("double")))
-    return F.when(total > 0, F.greatest(F.log2(total.cast("double")) - weighted / total, F.lit(0.0))).otherwise(F.lit(0.0))
+    """Shannon entropy (bits per character) of one text held in a row; 0 for an empty text or none.
+
+    A text is read once, whatever its alphabet: its code points are counted as numbers.
+    """
+
+    @F.pandas_udf("double")
+    def entropy(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            if t:
+                n = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"))
+                n = n[n > 0].astype(float)
+                out[i] = max(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum(), 0.0)
+        return pd.Series(out)
+
+    return entropy(text)
 
 
 def character_entropy(df: DataFrame, keys: list[str], text_columns: list[str], name: str = "entropy") -> DataFrame:

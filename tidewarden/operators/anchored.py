@@ -19,6 +19,8 @@ from tidewarden.session import broadcast_if_small, materialize
 
 # Array folds stay below this many rows of one key.
 HOT_ROWS = 20_000
+# Rows of one task that gives busy keys' rows their windows.
+TASK_ROWS = 250_000
 
 
 def anchored_windows(
@@ -59,18 +61,24 @@ def _windows(
     timed = df.withColumn("_timed", F.coalesce(F.col(at), F.lit(0)))
     busy_keys = timed.withColumn("_of", F.struct(*keys)).groupBy("_of").agg(F.count(F.lit(1)).alias("_rows"))
     hot = materialize(busy_keys.filter(F.col("_rows") > hot_rows))
-    most = hot.agg(F.max("_rows")).first()[0]
+    most, rows = hot.agg(F.max("_rows"), F.sum("_rows")).first()
     if most is None:
         return _fold(timed, keys, "_timed", row_id, width, cap, starts).drop("_timed")
     hot = broadcast_if_small(hot.select("_of"))
     named = timed.withColumn("_of", F.struct(*keys))  # null keys are equal inside the struct
     cold = _fold(named.join(hot, "_of", "left_anti").drop("_of"), keys, "_timed", row_id, width, cap, starts)
-    busy = _busy(named.join(hot, "_of", "left_semi"), row_id, width, cap, most, block_rows, starts)
+    busy = _busy(named.join(hot, "_of", "left_semi"), row_id, width, cap, most, rows, block_rows, starts)
     return cold.unionByName(busy.drop("_of")).drop("_timed")
 
 
-def _busy(df: DataFrame, row_id: str, width: int, cap: int | None, most: int, block_rows: int, starts: bool) -> DataFrame:
-    """Windows of the keys (``_of``) that are never gathered; ``most`` is the rows of the largest."""
+def _busy(
+    df: DataFrame, row_id: str, width: int, cap: int | None, most: int, total: int, block_rows: int, starts: bool
+) -> DataFrame:
+    """Windows of the keys (``_of``) that are never gathered; ``most`` is the rows of the largest, ``total`` those of all.
+
+    Rows meet their windows in tasks of a bounded number of rows: beside the other keys' fat arrays, sizes in bytes would
+    give them too few.
+    """
     slim = df.select("_of", "_timed", row_id)
     several = most > block_rows
     reach = cap if cap is not None and cap <= block_rows else longest_window(slim, "_timed", width) if several else block_rows
@@ -79,7 +87,9 @@ def _busy(df: DataFrame, row_id: str, width: int, cap: int | None, most: int, bl
         placed = placed.filter(F.col(row_id) == F.col("window_id")) if starts else placed
     else:
         placed = chained_windows(slim, "_timed", row_id, width, cap, reach, several, starts, block_rows).withColumnRenamed("id", row_id)
-    return df.join(placed.select("_of", row_id, "window_at", "window_id"), ["_of", row_id]).select(*df.columns, "window_at", "window_id")
+    tasks = -(-total // TASK_ROWS)
+    dealt, found = (x.repartition(tasks, "_of", row_id) for x in (df, placed.select("_of", row_id, "window_at", "window_id")))
+    return dealt.join(found, ["_of", row_id]).select(*df.columns, "window_at", "window_id")
 
 
 def _opens(acc: Column, row: Column, at: str, width: int, cap: int | None) -> Column:

@@ -129,7 +129,8 @@ def flow_features(
     ``max_history`` (``HOST_HISTORY`` is the customary value) limits what counts as recent; by default nothing does.
 
     ``http`` and ``dns`` are application logs whose rows name their connection by ``uid``; each counts in the window of
-    its connection, and rows of unknown connections are left out. The windows are written once for them.
+    its connection, and rows of unknown connections are left out. The windows and the window of each connection are
+    written once for them, and each log once with its windows, since its statistics read it several times.
 
     The window statistics are written once: the host context reads them twice, and only four columns of them.
     """
@@ -137,24 +138,27 @@ def flow_features(
     logs = {"http_features": (http, http_features), "dns_features": (dns, dns_features)}
     if http is not None or dns is not None:
         windowed = materialize(windowed)
+        connections = materialize(connection_windows(windowed))
     stats = materialize(window_statistics(windowed))
     context = host_context(records, stats.filter("src_ip <> ''"), WINDOW_KEY, width, max_history=max_history)
     joined = stats.join(context.drop("src_ip"), WINDOW_KEY, "left")
     for name, (log, statistics) in logs.items():
         if log is not None:
-            joined = joined.join(window_application(windowed, log, statistics, name), WINDOW_KEY, "left")
+            joined = joined.join(window_application(connections, log, statistics, name), WINDOW_KEY, "left")
     return feature_record(joined)
 
 
+def connection_windows(windowed: DataFrame) -> DataFrame:
+    """The window of each connection (``uid``). A record that was delivered more than once counts as one connection."""
+    first = windowed.filter("uid is not null").groupBy("uid").agg(F.min(F.struct(*WINDOW_KEY)).alias("w"))
+    return first.select("uid", "w.*")
+
+
 def window_application(
-    windowed: DataFrame, log: DataFrame, statistics: Callable[[DataFrame, list[str]], DataFrame], name: str
+    connections: DataFrame, log: DataFrame, statistics: Callable[[DataFrame, list[str]], DataFrame], name: str
 ) -> DataFrame:
-    """Application statistics of each flow window that has any, as one struct: log rows meet records by ``uid``.
-
-    A record that was delivered more than once counts as one connection.
-    """
-    connections = windowed.filter("uid is not null").groupBy("uid").agg(F.min(F.struct(*WINDOW_KEY)).alias("w")).select("uid", "w.*")
-    found = statistics(log.join(connections, "uid"), WINDOW_KEY)
+    """Application statistics of each flow window that has any, as one struct: log rows meet connections by ``uid``."""
+    found = statistics(materialize(log.join(connections, "uid").drop("uid")), WINDOW_KEY)
     return found.select(*WINDOW_KEY, F.struct(*[c for c in found.columns if c not in WINDOW_KEY]).alias(name))
 
 
