@@ -7,7 +7,7 @@ from tidewarden.operators.running import sliced_totals
 from tidewarden.operators.serving import decision_scorer
 from tidewarden.session import run_dir
 from tidewarden.training import classifiers as c
-from tidewarden.training import evaluate, prepare, registry
+from tidewarden.training import evaluate, one_class, prepare, registry, stages
 from tidewarden.training.isolation_forest import IsolationForestModel, fit_isolation_forest
 from tidewarden.training.nested_search import nested_search, settings_text, tree_table
 from tidewarden.training.one_class import fit_one_class
@@ -45,6 +45,26 @@ def test_one_class_boundary(points):
     assert inside[inside.Label == "odd"]["in"].mean() < inside[inside.Label == "plain"]["in"].mean()
 
 
+def test_one_class_steps_make_no_object_of_a_vector(spark, points, tmp_path, monkeypatch):
+    """A step reads vectors as Arrow has them, and the anomaly models read the training table's scaled vectors as written once."""
+    def none(*_):
+        raise AssertionError("vectors were made objects")
+
+    slim = points.select(F.col("vector").alias("v"))
+    model = fit_one_class(slim, "v", 3, steps=1)
+    monkeypatch.setattr(type(slim), "mapInPandas", none)
+    count, outside, total = one_class._pass(slim.repartition(3), model)
+    z = one_class.fourier(np.stack(points.toPandas()["vector"].to_numpy()), model.frequencies, model.phases)
+    wrong = z @ model.weights <= model.threshold
+    assert (count, outside) == (len(z), wrong.sum()) and np.allclose(total, z[wrong].sum(axis=0))
+
+    points.drop("vector").write.parquet(str(tmp_path / "train"))
+    read = []
+    monkeypatch.setattr(stages, "fit_one_class", lambda df, *_: read.extend(df.inputFiles()) or model)
+    stages.anomaly_pipelines(spark.read.parquet(str(tmp_path / "train")), ["x0", "x1", "x2"], "id", trees=5)
+    assert read and not [f for f in read if "/train/" in f]
+
+
 def test_split_keeps_label_shares(points):
     s = prepare.stratified_split(points, "id").groupBy("Label", "is_test").count().toPandas()
     counts = {(r.Label, r.is_test): r["count"] for _, r in s.iterrows()}
