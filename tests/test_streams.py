@@ -8,7 +8,7 @@ from tidewarden.catalog.decisions import BLOCK_SECONDS, acts, blocks
 from tidewarden.catalog.flows import windowed
 from tidewarden.catalog.tables import DAY, flows
 from tidewarden.session import run_dir
-from tidewarden.streaming.runner import drain
+from tidewarden.streaming.runner import STORES_PER_CORE, drain, few_stores
 from tidewarden.operators.hosts import distinct_so_far, trailing_totals
 from tidewarden.streaming.state import due_ms, stream_blocks, stream_flow_windows, stream_host_context
 from helpers import records
@@ -112,3 +112,31 @@ def test_live_statistics_write_messages_in_bounded_files(spark, folder, monkeypa
     files = -(-rows // 300)
     assert taken == [(files, 3 * files)] and files > 1
     assert got["processed"] + got["errors"] == rows
+
+
+def test_parts_are_micro_batches_of_bounded_files(spark, folder, monkeypatch):
+    """Large parts are written by many tasks and stay one micro-batch each, also those of few rows or none."""
+    from tidewarden.catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    f = flows(spark, folder)
+    rows, batches = f.count(), []
+    parts = [F.col("record_id") < 3, F.lit(False), F.col("record_id") >= 3]
+    stream = streams.in_turn(spark, f, parts, "parts")
+    stream.writeStream.foreachBatch(lambda batch, number: batches.append(sorted(r[1] for r in batch.groupBy(F.input_file_name()).count().collect()))) \
+        .option("checkpointLocation", run_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [sum(b) for b in batches] == [3, 0, rows - 3]
+    assert len(batches[2]) == -(-(rows - 3) // 100) and max(batches[2]) < 200
+
+
+def test_few_stores_follow_the_cores(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for given, stores in ((10_000, STORES_PER_CORE * cores), (2, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", given)
+            with few_stores(spark):
+                assert int(spark.conf.get("spark.sql.shuffle.partitions")) == stores
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == given
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)

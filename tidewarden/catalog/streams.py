@@ -26,7 +26,7 @@ from tidewarden.sources.streams import (
     folder_stream, rejects_of, stream_features, stream_flows, stream_metric_events, stream_results, tail_conn_log,
     tail_event_log, with_id,
 )
-from tidewarden.streaming.runner import drain, drain_per_batch, start
+from tidewarden.streaming.runner import drain, drain_per_batch, few_stores, start
 from tidewarden.streaming.statistics import StatisticsWriter, live_statistics, observed
 from tidewarden.streaming.state import stream_blocks, stream_flow_windows, stream_host_context
 
@@ -166,16 +166,37 @@ def _(spark, sf):
     return drain_per_batch(w, window_statistics).select("flow_key", "window_id", "byte_count", "packet_count", r6("entropy"))
 
 
+FILE_ROWS = 500_000
+
+
+def files_per_batch(rows, batches):
+    """How many files of at most about ``FILE_ROWS`` rows each of so many micro-batches takes."""
+    return max(-(-rows // (batches * FILE_ROWS)), 1)
+
+
+def in_turn(spark, df, parts, kind):
+    """A stream in which the rows of each of ``parts`` are one micro-batch, and the files of its folder in that order.
+
+    All parts have the same number of files, each of at most about ``FILE_ROWS`` rows, so large parts are written and read in many tasks.
+    """
+    path = run_dir(spark, kind)
+    rows = df.agg(*[F.count_if(part) for part in parts]).first()
+    files = files_per_batch(max(rows), 1)
+    written = spark.read.schema(df.schema)
+    for k, part in enumerate(parts, start=1):
+        df.filter(part).repartition(files, "record_id").write.mode("append").parquet(path)
+        for _ in range(k * files - len(written.parquet(path).inputFiles())):  # a task without rows leaves no file
+            df.limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def out_of_order(spark, sf, hours=48, parts=5):
-    """Files in order of arrival, one a micro-batch: each record is up to ``hours`` late, so none falls behind a watermark of that delay."""
-    path = run_dir(spark, "late")
+    """Parts in order of arrival, one a micro-batch: each record is up to ``hours`` late, so none falls behind a watermark of that delay."""
     f = flows(spark, sf)
     arrival = F.unix_micros("ts") + F.col("record_id") * 37 % hours * HOUR
     first, last = f.agg(F.min(arrival), F.max(arrival)).first()
-    for k in range(parts):
-        low, high = (first + (last + 1 - first) * (k + d) // parts for d in (0, 1))
-        f.filter((arrival >= low) & (arrival < high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    bounds = [first + (last + 1 - first) * k // parts for k in range(parts + 1)]
+    return in_turn(spark, f, [(arrival >= low) & (arrival < high) for low, high in zip(bounds, bounds[1:])], "late")
 
 
 @query("t2_stream_host_context", with_sql(FLOWS_SQL, f"""
@@ -186,8 +207,9 @@ from flows f join flows g on g.src_ip = f.src_ip and g.ts_us <= f.ts_us
 where f.ts_us // 1000 + 1 <= (select max(ts_us) from flows) // 1000 - {48 * HOUR // 1000} group by 1, 2"""))
 def _(spark, sf):
     """Five micro-batches of records that arrive out of order; all that the last watermark has passed, as in batch."""
-    return drain(stream_host_context(out_of_order(spark, sf), WIDTH, "48 hours")).select(
-        "record_id", "src_ip", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes")
+    with few_stores(spark):
+        context = drain(stream_host_context(out_of_order(spark, sf), WIDTH, "48 hours"))
+    return context.select("record_id", "src_ip", "unique_dst_ips", "unique_dst_ports", "recent_flows", "recent_bytes")
 
 
 @query("t3_stream_blocks", with_sql(BLOCKS_SQL, f"""
@@ -203,16 +225,12 @@ def _(spark, sf):
 
 
 def staged(spark, sf):
-    """Three files in order: the first half of the month, half of the rest, then the remainder with stragglers
+    """Three parts in order: the first half of the month, half of the rest, then the remainder with stragglers
     of the first half. A watermark drops late rows from the second batch after the one that set it."""
-    path = run_dir(spark, "staged")
     first_half = F.col("ts") < F.timestamp_seconds(F.lit(1705320000))
     straggler = first_half & (F.col("record_id") % 50 == 0)
     odd = F.col("record_id") % 2 == 1
-    f = flows(spark, sf)
-    for part in (first_half & ~straggler, ~first_half & ~odd, (~first_half & odd) | straggler):
-        f.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return in_turn(spark, flows(spark, sf), [first_half & ~straggler, ~first_half & ~odd, (~first_half & odd) | straggler], "staged")
 
 
 @query("t5_late_rows", with_sql(FLOWS_SQL, f""",
@@ -286,14 +304,6 @@ def _(spark, sf):
     return drain_per_batch(flow_stream(spark, sf), tag)
 
 
-FILE_ROWS = 500_000
-
-
-def files_per_batch(rows, batches):
-    """How many files of at most about ``FILE_ROWS`` rows each of so many micro-batches takes."""
-    return max(-(-rows // (batches * FILE_ROWS)), 1)
-
-
 @query("a18_live_statistics", with_sql(FLOWS_SQL, f"""
 select 'capture' as stage, count(case when record_id % 40 <> 1 then 1 end) as processed, count(case when record_id % 40 = 1 then 1 end) as errors,
   round(({NOW} - min(case when record_id % 40 <> 1 then ts_us end)) / 1e6, 2) as uptime_seconds,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,8 @@ from tidewarden.session import run_dir
 RECORD_TRIGGER = {"processingTime": "1 second"}
 METRIC_TRIGGER = {"processingTime": "30 seconds"}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State stores of a stream with few keys, at most, for each core.
+STORES_PER_CORE = 4
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -20,6 +23,22 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def few_stores(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in a number of stores that the cores can visit in a few rounds.
+
+    Every micro-batch runs a task for each store, also for one without a key, so with few keys the usual number of shuffle
+    partitions is most of its time. The number is kept in the checkpoint.
+    """
+    name = "spark.sql.shuffle.partitions"
+    held = spark.conf.get(name)
+    spark.conf.set(name, min(int(held), STORES_PER_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append") -> StreamingQuery:
     """Append the stream's rows to a parquet table, exactly once across restarts from the checkpoint."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
