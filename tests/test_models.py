@@ -197,3 +197,14 @@ def test_scores_crowded_at_one_end_are_spread(spark):
     for k in (0, 1):
         up, down = (np.array([s for c_, s, p in rows if c_ == k and p == y]) for y in (1, 0))
         assert got[k] == pytest.approx((up[:, None] > down[None, :]).mean())
+
+
+def test_split_reads_a_written_table(spark, folder, monkeypatch):
+    """The labelled records are derived once, not again by every step of the split."""
+    from tidewarden.catalog import models
+
+    read, original = [], prepare.stratified_split
+    monkeypatch.setattr(prepare, "stratified_split", lambda df, *args: read.extend(df.inputFiles()) or original(df, *args))
+    train, test, _ = models.split(spark, folder)
+    assert read and not any("events" in name for name in read)
+    assert train.count() + test.count() == spark.read.parquet(f"{folder}/events.parquet").count()
