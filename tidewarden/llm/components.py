@@ -8,7 +8,8 @@ one count and one checksum a round.
 
 A hub, the node of very many edges, is no bottleneck: its least neighbour is found by partial minima, and those are
 written too, so that the join which brings them back to the edges is one of two plain exchanges. Adaptive execution
-can split a crowded node's edges only there, not where one side is the aggregation itself.
+can split a crowded node's edges only there, not where one side is the aggregation itself. Minima are broadcast only after
+a count: their file is far smaller than the table that the driver would build.
 """
 
 from __future__ import annotations
@@ -16,21 +17,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.session import materialize
+from tidewarden.session import broadcast_or_merge, materialize
 
 
 def _towards_smallest(edges: DataFrame) -> DataFrame:
     """For each node, its larger neighbours point to the smallest node among itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.filter("b > a").join(broadcast_or_merge(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _onto_smallest(edges: DataFrame) -> DataFrame:
     """For each node, it and its smaller neighbours point to the smallest neighbour."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(broadcast_or_merge(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 

@@ -28,7 +28,7 @@ from xxhash import xxh64_intdigest
 
 from tidewarden.llm.components import connected_components
 from tidewarden.llm.words import packed_rows, texts_of
-from tidewarden.session import materialize
+from tidewarden.session import broadcast_or_merge, materialize
 
 SEED = 42
 MAX_BITS = 3
@@ -118,7 +118,9 @@ def split_groups(replicas: DataFrame, block: int) -> DataFrame:
     """
     homes = [F.max("home").alias("_any")] if "home" in replicas.columns else [F.lit(True).alias("_any")]
     met = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), *homes).filter("_n > 1 and _any")
-    sized = replicas.join(met.select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "anchor")
+    # written and counted: both sides come from an explode, which Spark takes for no larger than the file below it
+    met = materialize(met.select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    sized = replicas.join(broadcast_or_merge(met), "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.least(b, own) * F.col("_blocks") + F.greatest(b, own))
     return sized.select(*replicas.columns, F.explode(pairs.cast("array<bigint>")).alias("part"))
@@ -173,13 +175,13 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def named_components(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """Add ``component_id`` to (``doc_id``, ``fp``), from the smallest id of each ``fp`` and the links between them."""
-    found = connected_components(links)
-    rooted = materialize(distinct.join(found, distinct["fp"] == found["node"], "left").select(
+    found = broadcast_or_merge(connected_components(links))
+    rooted = materialize(distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")))
     # written, so that the join on a root of very many fingerprints can be split
     roots = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = rooted.join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(broadcast_or_merge(roots), "root").select("fp", "component_id")
+    return prints.join(broadcast_or_merge(named, counted=rooted), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
