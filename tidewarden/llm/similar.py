@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from tidewarden.llm.components import connected_components
 from tidewarden.llm.simhash import first_rows, linked, named_components
 from tidewarden.llm.words import hashes_of, mixed, slices, word_spans
-from tidewarden.session import materialize
+from tidewarden.session import broadcast_or_merge, materialize
 
 BANDS = 16
 ROWS = 5
 # Members of one block of a group, and the shingles they have together.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 18
+# Texts whose keys are broadcast, one number each, to read the texts without moving them.
+ASKED_ROWS = 400_000
 # Text handled at once, and shingles that are hashed at once.
 TEXT_BYTES = 2 << 20
 STEP = 1 << 12
@@ -184,7 +186,7 @@ def checked(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield from links(held)
 
-    dealt = groups.join(sets, "fp").select("anchor", "part", "fp", "root", "hashes").repartition("anchor", "part")
+    dealt = sets.join(broadcast_or_merge(groups), "fp").select("anchor", "part", "fp", "root", "hashes").repartition("anchor", "part")
     return dealt.sortWithinPartitions("anchor", "part").mapInArrow(compare, "a long, b long")
 
 
@@ -196,7 +198,8 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, shingle: int, text: str) ->
             found = [shingle_set(w, shingle).tobytes() for w in word_hashes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "hashes"])
 
-    texts = docs.select(text_key(F.col(text)).alias("fp"), F.col(text).alias("text")).join(asked, "fp", "left_semi")
+    texts = docs.select(text_key(F.col(text)).alias("fp"), F.col(text).alias("text")).join(
+        broadcast_or_merge(asked, ASKED_ROWS), "fp", "left_semi")
     return texts.mapInArrow(sets, "fp long, hashes binary").dropDuplicates(["fp"])
 
 
@@ -209,8 +212,8 @@ def links_of(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     large = met.filter("blocks > 1")
     if large.isEmpty():
         return first
-    found = connected_components(first)
-    rooted = large.join(found, large["fp"] == found["node"], "left").select(
+    found = broadcast_or_merge(connected_components(first))
+    rooted = large.join(found, F.col("fp") == F.col("node"), "left").select(
         "anchor", "fp", "blocks", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
     open_ = rooted.groupBy("anchor").agg((F.min("root") != F.max("root")).alias("_open")).filter("_open").select("anchor")
