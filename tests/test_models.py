@@ -1,14 +1,18 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from tidewarden.catalog import QUERIES, models
 from tidewarden.operators.running import sliced_totals
 from tidewarden.operators.serving import decision_scorer
 from tidewarden.session import run_dir
 from tidewarden.training import classifiers as c
 from tidewarden.training import evaluate, one_class, prepare, registry, stages
 from tidewarden.training.isolation_forest import IsolationForestModel, fit_isolation_forest
+from tidewarden.training import nested_search as nested_search_module
 from tidewarden.training.nested_search import nested_search, settings_text, tree_table
 from tidewarden.training.one_class import fit_one_class
 from tidewarden.training.run import train_all
@@ -134,6 +138,47 @@ def test_boosting_search_runs_few_jobs_and_agrees_with_mllib(spark):
         assert accuracy == pytest.approx(search.avgMetrics[0], abs=0.03)
 
 
+SEARCHES = [(lambda: c.random_forest(), {"numTrees": [1, 2], "maxDepth": [1, 2]}), (lambda: c.gradient_boosting(2), {"maxIter": [1, 2], "maxDepth": [1]})]
+
+
+@pytest.mark.parametrize("estimator, grid", SEARCHES, ids=["forest", "boosting"])
+@pytest.mark.parametrize("cells", [nested_search_module.TASK_CELLS, 0], ids=["tasks", "cluster"])
+def test_search_counts_every_row(spark, monkeypatch, estimator, grid, cells):
+    """With a label that no feature tells, every point is right for the plain rows of each fold: of all 24,000, ids or none."""
+    monkeypatch.setattr(nested_search_module, "TASK_CELLS", cells)
+    row = F.when(F.col("id") % 1000 != 7, F.col("id"))
+    df = spark.range(24_000).select(row.alias("row"), (F.col("id") % 2).cast("double").alias("x0"), (F.col("id") % 3).cast("double").alias("x1"),
+                                    F.when(F.xxhash64("id") % 10 == 0, "odd").otherwise("plain").alias("Label"))
+    folds = prepare.fold_numbers(df, "row").groupBy(F.coalesce("fold", F.lit(0)).alias("fold")).agg(F.avg((F.col("Label") == "plain").cast("double")).alias("share"))
+    share = folds.agg(F.avg("share")).first()[0]
+    found, _ = nested_search(df, ["x0", "x1"], estimator(), grid, "row")
+    assert len(found) == len(list(itertools.product(*grid.values())))
+    assert [a for _, a in found] == pytest.approx([share] * len(found), abs=1e-12)
+
+
+def test_registered_searches_ask_for_all_rows(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "nested_search", lambda *a, **k: asked.append(k) or ([({"n": 1}, 1.0)], None))
+    monkeypatch.setattr(models, "ready", lambda *_: (spark.range(1), []))
+    for name in ("r10_forest_search", "r11_boosting_search"):
+        QUERIES[name](spark, "")
+    assert len(asked) == 2 and all(k.get("max_rows") is None for k in asked)
+
+
+def test_search_in_tasks_agrees_with_the_cluster(spark, monkeypatch):
+    """The same accuracies, up to other draws, whether a task fits all different rows or MLlib does."""
+    noise = F.xxhash64("id") % 8 == 0
+    df, columns = repeated(spark, 4).withColumn("x2", F.col("x2") + F.rand(3)), ["x0", "x1", "x2"]
+    df = df.withColumn("Label", F.when(noise, "attack").otherwise(F.col("Label")))
+    grid = {"numTrees": [5, 30], "maxDepth": [2, 5], "minInstancesPerNode": [1, 20]}
+    tasks = nested_search(df, columns, c.random_forest(), grid, "id")[0]
+    monkeypatch.setattr(nested_search_module, "TASK_CELLS", 0)
+    cluster = nested_search(df, columns, c.random_forest(), grid, "id")[0]
+    assert [s for s, _ in tasks] == [s for s, _ in cluster] and tasks[-1][1] > 0.85
+    large = [i for i, (s, _) in enumerate(tasks) if s["numTrees"] == 30]
+    assert [tasks[i][1] for i in large] == pytest.approx([cluster[i][1] for i in large], abs=0.04)
+
+
 def test_alike_rows_are_fitted_as_one_with_their_weight(spark, monkeypatch):
     """300 times as many rows cost a fit no more rows, all of them count, and no task gets more than its share."""
     columns = ["x0", "x1", "x2"]
@@ -201,7 +246,7 @@ def test_scores_crowded_at_one_end_are_spread(spark):
 
 def test_split_reads_a_written_table(spark, folder, monkeypatch):
     """The labelled records are derived once, not again by every step of the split."""
-    from tidewarden.catalog import models
+    from tidewarden.catalog import QUERIES, models
 
     read, original = [], prepare.stratified_split
     monkeypatch.setattr(prepare, "stratified_split", lambda df, *args: read.extend(df.inputFiles()) or original(df, *args))
